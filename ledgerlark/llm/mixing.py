@@ -73,7 +73,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mos
         }
     )
     s = s.withColumn("__level", (F.col("__total") - F.col("__caps")) / F.col("__rest"))
-    free = F.min(F.when(F.col("cap") / F.col("weight") > F.col("__level"), F.col("__level"))).over(everything)
+    free = F.max(F.when(F.col("cap") / F.col("weight") > F.col("__level"), F.col("__level"))).over(everything)
     s = s.withColumn("__free", free)
     target = F.when(F.col("__free").isNull() | (F.col("cap") <= F.col("weight") * F.col("__free")), F.col("cap")).otherwise(F.col("weight") * F.col("__free"))
     return s.withColumn("target", target).select("source", "source_size", "weight", "target", F.col("__total").cast("long").alias("total"))

@@ -16,7 +16,7 @@ s2 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAS
           sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
        FROM s1),
 s3 AS (SELECT s2.*, g.total, g.block, g.shard_words, (g.total::DOUBLE - caps) / rest::DOUBLE AS level FROM s2, g),
-s4 AS (SELECT *, min(CASE WHEN cap / weight > level THEN level END) OVER () AS free FROM s3),
+s4 AS (SELECT *, max(CASE WHEN cap / weight > level THEN level END) OVER () AS free FROM s3),
 s AS (SELECT source, source_size, total, block,
         CASE WHEN free IS NULL OR cap <= weight * free THEN cap ELSE weight * free END AS target,
         greatest(1, ceil(source_size / shard_words))::BIGINT AS shards FROM s4),
