@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, urls
+from . import chat, mixing, phrases, sharding, substrings, urls
 from .common import table
 
 URL_RULES = (
@@ -67,3 +67,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_chat": op10_chat,
 }
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op6_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES |= {"op2_decontaminate": op2_decontaminate, "op6_dedup_substrings": op6_dedup_substrings}
