@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, phrases, sharding, substrings, urls
+from . import chat, classify, languages, mixing, phrases, sharding, substrings, urls
 from .common import table
 
 URL_RULES = (
@@ -87,3 +87,24 @@ def op6_dedup_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_decontaminate": op2_decontaminate, "op6_dedup_substrings": op6_dedup_substrings}
+
+
+def _bucket(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = classify.train(docs, labels, learn=_bucket(5) != 0)
+    scored = classify.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (_bucket(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = languages.train(docs, learn=_bucket(3) != 1)
+    named = languages.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", (_bucket(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES |= {"op4_toxicity": op4_toxicity, "op8_language": op8_language}
