@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classify, languages, mixing, phrases, sharding, substrings, urls
+from . import chat, classify, languages, mixing, ngrams, phrases, sharding, substrings, urls
 from .common import table
 
 URL_RULES = (
@@ -108,3 +108,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_toxicity": op4_toxicity, "op8_language": op8_language}
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_components(table(spark, sf_dir, "documents"), size=3, threshold=(9, 10))
+
+
+QUERIES["op3_jaccard_join"] = op3_jaccard_join
