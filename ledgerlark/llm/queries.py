@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classify, languages, mixing, ngrams, phrases, sharding, substrings, urls
+from . import chat, classify, languages, mixing, neighbours, ngrams, phrases, sharding, substrings, urls
 from .common import table
 
 URL_RULES = (
@@ -115,3 +115,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_jaccard_join"] = op3_jaccard_join
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES["op5_nearest"] = op5_nearest
