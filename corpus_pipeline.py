@@ -1,6 +1,69 @@
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``.
+
+1. toxicity: documents that the classifier rejects go.
+2. near_duplicates: one document (the least doc_id) of each component stays.
+3. decontamination: documents that hold a benchmark passage go.
+4. mixing: sources are taken by weight; a copy is a row, and where a block cuts
+   a document, the row holds the words taken.
+5. sharding: rows get their shard and slot.
+
+A stage takes (spark, docs, sf_dir); what it returns is written as Parquet and
+read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlark.llm import classify, mixing, ngrams, phrases, sharding
+from ledgerlark.llm.common import saved, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = classify.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=F.lit(True))
+    return classify.score(docs, model, out="__score").filter(F.col("__score") < 0.5).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shingles of five words, similarity 0.8 or more; of repeated rows one stays, rows without an id all do."""
+    named = ngrams.jaccard_components(docs, size=5, threshold=(4, 5)).select("doc_id", "component_id").distinct()
+    keep = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).filter("doc_id = component_id").select("doc_id")
+    one = docs.join(keep, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return one.unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ten consecutive words of an item, or all of a shorter one; rows without an id stay."""
+    found = phrases.decontaminate(docs, table(spark, sf_dir, "benchmark"), size=10)
+    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row's n_chars is that of the text it holds."""
+    return mixing.taken_texts(mixing.mix(docs), list(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs, shards=16)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: SQL cannot express the classifier; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -182,7 +182,7 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return v.filter("vec_id IS NOT NULL AND vector IS NOT NULL").filter(~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, degree: int = 24, build_beam: int = 48, beam: int = 128, alpha: float = 1.44, shard_vectors: int = 16_000, query_block: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, degree: int = 32, build_beam: int = 64, beam: int = 160, alpha: float = 1.44, shard_vectors: int = 16_000, query_block: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest other rows of each query by inner product.
 
     ``is_query`` is a predicate on ``vec_id``.  Ties go to the smaller id;
