@@ -1,4 +1,622 @@
-"""Queries over the driver's tables and their DuckDB counterparts."""
+"""Queries over the driver's tables and their DuckDB counterparts.
 
-QUERIES = {}
-ORACLE_SQL = {}
+No driver table is a bank statement, so views stand in: purchases of ``events``
+are transactions (eight statements), other events are candidate documents;
+``documents`` are files with text, ``orders`` give QR texts.  The operators are
+the same as for real records.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import amounts, dates, identifiers, naming, qr, text
+from ..operators import audit, bands, dedup, evidence, exports, groundtruth, lineitems, matching, parties, review, validation
+from . import rules
+from .policy import Policy, Rule
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query, and its SQL with the views that it names."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            used = [v for v in VIEWS if v in sql or (v in ("v_txn", "v_cand") and "v_edge" in sql)]
+            heads, rest = [VIEWS[v] for v in used], sql
+            if heads and sql.startswith("WITH "):
+                rest = ", " + sql[5:]
+            ORACLE_SQL[f.__name__] = (f"WITH {', '.join(heads)} " if heads else "") + rest
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+POLICY = Policy(
+    window_days=3,
+    bank_counterparties=("p7",),
+    rules=(
+        Rule("refund", direction="credit", keywords=('"k": 1',), required={"bank-anchor": (1, None)}),
+        Rule("credit", direction="credit", required={"bank-anchor": (1, None)}, companions=("payment",)),
+        Rule("payment", direction="debit", required={"bank-anchor": (1, 1), "supplier-evidence": (1, None)}, shared={"contract-*": None}),
+    ),
+)
+
+VIEWS = {
+    "v_txn": """v_txn AS (
+  SELECT 'S' || (user_id % 8)::VARCHAR AS statement, event_id AS row, strftime(ts, '%Y-%m-%d') AS date,
+    upper(event_type) || ' ' || coalesce(props, '') AS description,
+    CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS amount, 'EUR' AS currency, abs(value) AS abs_amount,
+    CASE WHEN event_id % 2 = 0 AND value > 0 THEN CASE WHEN contains(upper(coalesce(props, '')), '"K": 1') THEN 0 ELSE 1 END ELSE 2 END AS rule
+  FROM events WHERE event_type = 'purchase')""",
+    "v_cand": """v_cand AS (
+  SELECT 'E' || event_id::VARCHAR AS candidate_id, event_id AS ord, value AS total_amount, strftime(ts, '%Y-%m-%d') AS date_issued,
+    'P' || user_id::VARCHAR AS issuing_party, 'p' || user_id::VARCHAR AS counterparty,
+    CASE event_type WHEN 'signup' THEN 'bank-note' WHEN 'view' THEN 'invoice' WHEN 'click' THEN 'receipt' ELSE 'contract-signup' END AS document_type,
+    CASE event_type WHEN 'signup' THEN 'bank_anchor' WHEN 'view' THEN 'supplier_evidence' WHEN 'click' THEN 'supplier_evidence' ELSE 'contract_evidence' END AS family,
+    CASE event_type WHEN 'signup' THEN 'BNC_' WHEN 'view' THEN 'CMP_' WHEN 'click' THEN 'CMP_' ELSE 'DOC_' END || event_id::VARCHAR || '.pdf' AS file_name
+  FROM events WHERE event_type <> 'purchase')""",
+    "v_edge": """v_edge AS (
+  SELECT t.*, c.*, abs(datediff('day', t.date::DATE, c.date_issued::DATE)) AS days, datediff('day', t.date::DATE, c.date_issued::DATE) > 0 AS after
+  FROM v_txn t JOIN v_cand c ON abs(t.abs_amount - c.total_amount) <= 0.01
+  WHERE abs(datediff('day', t.date::DATE, c.date_issued::DATE)) <= 3)""",
+    "v_file": r"""v_file AS (
+  SELECT doc_id AS path, coalesce(n_chars, 0) AS size, text, lang, source,
+    substr(sha256(text), 1, 8) AS hash_content,
+    CASE WHEN length(trim(text)) >= 50 THEN substr(sha256(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\x00-\x7F]', '', 'g'), '\s', '', 'g')), 1, 8) END AS hash_text
+  FROM documents)""",
+    "v_doc": """v_doc AS (
+  SELECT o_orderkey AS path, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS real_date, o_totalprice AS total_amount,
+    CASE WHEN o_orderkey % 11 = 0 THEN '$UNKNOWN$' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date_issued,
+    CASE WHEN o_orderkey % 7 = 0 THEN '$UNKNOWN$' WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'Party ' || (o_custkey % 40)::VARCHAR END AS issuing_party,
+    CASE o_orderstatus WHEN 'O' THEN 'invoice' WHEN 'F' THEN 'tax-vat' ELSE '$UNKNOWN$' END AS document_type,
+    (o_orderkey % 100) / 100.0::DOUBLE AS class_confidence
+  FROM orders)""",
+}
+
+
+def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    t = e.select(
+        F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("statement"),
+        F.col("event_id").alias("row"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.concat(F.upper("event_type"), F.lit(" "), F.coalesce("props", F.lit(""))).alias("description"),
+        F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(-F.col("value")).alias("amount"),
+        F.lit("EUR").alias("currency"),
+        F.lit(None).cast("string").alias("party"),
+    )
+    return matching.classified(t, POLICY)
+
+
+def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_type <> 'purchase'")
+    kind = F.col("event_type")
+    d = e.select(
+        F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("candidate_id"),
+        F.col("event_id").alias("ord"),
+        F.col("value").alias("total_amount"),
+        F.lit("EUR").alias("total_amount_currency"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date_issued"),
+        F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("issuing_party"),
+        F.when(kind == "signup", "bank-note").when(kind == "view", "invoice").when(kind == "click", "receipt").otherwise("contract-signup").alias("document_type"),
+        F.concat(F.when(kind == "signup", "BNC_").when(kind.isin("view", "click"), "CMP_").otherwise("DOC_"), F.col("event_id").cast("string"), F.lit(".pdf")).alias("file_name"),
+        F.lit(None).cast("string").alias("source_filename"),
+        F.lit(None).cast("string").alias("issuer_tax_number"),
+        F.lit(None).cast("string").alias("issuing_party_raw"),
+        F.lit(None).cast("string").alias("document_title"),
+        F.lit(None).cast("string").alias("document_type_raw"),
+        F.lit(1).alias("page_count"),
+        F.lit(False).alias("is_part"),
+        F.array().cast(f"array<{matching.LINE_ITEM}>").alias("line_items"),
+        F.lit(None).cast("struct<mentions: array<string>, beneficiaries: array<string>>").alias("accounts"),
+    )
+    return evidence.with_evidence(d, POLICY)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("path"), F.coalesce("n_chars", F.lit(0)).alias("size"), "text", "lang", "source", text.short_hash(F.col("text")).alias("hash_content"), dedup.text_hash(F.array("text")).alias("hash_text"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.select(
+        key.alias("path"),
+        "o_custkey",
+        day.alias("real_date"),
+        F.col("o_totalprice").alias("total_amount"),
+        F.when(key % 11 == 0, text.UNKNOWN).otherwise(day).alias("date_issued"),
+        F.when(key % 7 == 0, text.UNKNOWN).when(key % 13 == 0, None).otherwise(F.concat(F.lit("Party "), (F.col("o_custkey") % 40).cast("string"))).alias("issuing_party"),
+        F.when(F.col("o_orderstatus") == "O", "invoice").when(F.col("o_orderstatus") == "F", "tax-vat").otherwise(text.UNKNOWN).alias("document_type"),
+        ((key % 100) / F.lit(100.0)).alias("class_confidence"),
+    )
+
+
+# duplicates and ingest
+
+
+@query("""SELECT hash_text AS group_hash, count(*) AS n_files, arg_min(path, (size, path)) AS keep, (sum(size) - min(size))::BIGINT AS bytes_saved
+FROM v_file WHERE hash_text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2""")
+def dup_groups_text(spark, sf_dir):
+    g = dedup.groups_of(files(spark, sf_dir).filter("hash_text IS NOT NULL"), ["hash_text"], "path", "size")
+    return g.withColumnRenamed("hash_text", "group_hash")
+
+
+PLAN = """p AS (SELECT *, count(*) OVER (PARTITION BY hash_content) AS n FROM v_file ),
+g AS (SELECT CASE WHEN n > 1 THEN 'content' ELSE 'text' END AS group_kind, CASE WHEN n > 1 THEN hash_content ELSE hash_text END AS group_hash, path, size
+      FROM p WHERE n > 1 OR hash_text IS NOT NULL),
+k AS (SELECT group_kind, group_hash, count(*) AS n_files, arg_min(path, (size, path)) AS keep, (sum(size) - min(size))::BIGINT AS bytes_saved
+      FROM g GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def _plan_sql(select: str) -> str:
+    return f"WITH {VIEWS['v_file']}, {PLAN} {select}"
+
+
+def dedup_plan_groups(spark, sf_dir):
+    return dedup.duplicate_groups(files(spark, sf_dir))
+
+
+def dedup_plan_totals(spark, sf_dir):
+    return dedup.plan_totals(dedup.duplicate_groups(files(spark, sf_dir)))
+
+
+QUERIES |= {"dedup_plan_groups": dedup_plan_groups, "dedup_plan_totals": dedup_plan_totals}
+ORACLE_SQL["dedup_plan_groups"] = _plan_sql("SELECT * FROM k")
+ORACLE_SQL["dedup_plan_totals"] = _plan_sql("SELECT count(*) AS n_groups, coalesce(sum(n_files - 1), 0)::BIGINT AS n_move, coalesce(sum(bytes_saved), 0)::BIGINT AS bytes_saved FROM k")
+
+
+@query("""SELECT hash_content, path AS move, min_path AS keep FROM (
+  SELECT *, first_value(path) OVER (PARTITION BY hash_content ORDER BY size, path) AS min_path FROM v_file WHERE hash_content IS NOT NULL) WHERE path <> min_path""")
+def dedup_members(spark, sf_dir):
+    f = files(spark, sf_dir).filter("hash_content IS NOT NULL")
+    return dedup.duplicate_members(f, dedup.groups_of(f, ["hash_content"], "path", "size"), ["hash_content"], "path")
+
+
+@query()
+def ingest_accept(spark, sf_dir):
+    f = files(spark, sf_dir).withColumn("hash_file", F.substring(F.sha2(F.concat_ws("|", "text", "source").cast("binary"), 256), 1, 8))
+    return dedup.accepted(f.select("path", "hash_file", "hash_content", "hash_text")).select("path", "accepted")
+
+
+@query("""SELECT path, hash_content FROM v_file QUALIFY hash_content IS NULL OR row_number() OVER (PARTITION BY hash_content ORDER BY path) = 1""")
+def export_dedup_first(spark, sf_dir):
+    return exports.first_of_each(files(spark, sf_dir), "hash_content").select("path", "hash_content")
+
+
+# months and exports
+
+
+@query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+def months_desc(spark, sf_dir):
+    return exports.months(records(spark, sf_dir).withColumn("date_issued", F.col("real_date")))
+
+
+@query("""SELECT path, real_date FROM v_doc WHERE substr(real_date, 1, 7) = (SELECT max(substr(real_date, 1, 7)) FROM v_doc )""")
+def latest_month_docs(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("month", dates.month_key(F.col("real_date")))
+    newest = r.agg(F.max("month").alias("month"))
+    return r.join(F.broadcast(newest), "month").select("path", "real_date")  # one row
+
+
+@query("""SELECT substr(real_date, 1, 7) AS month, count(*) AS n FROM v_doc WHERE substr(real_date, 1, 7) IN ('1996-12', '1997-01', '1997-02') GROUP BY 1""")
+def month_window(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("month", dates.month_key(F.col("real_date")))
+    return exports.month_window(r, "1997-01", "month").groupBy("month").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT lower(prefix) AS merged, list_sort(list(file_name)) AS files FROM (
+  SELECT file_name, unnest(['all', regexp_extract(file_name, '^([A-Za-z0-9]+)_', 1)]) AS prefix FROM v_cand WHERE total_amount > 480) GROUP BY 1""")
+def merge_manifest(spark, sf_dir):
+    return exports.merge_manifest(cands(spark, sf_dir).filter("total_amount > 480"))
+
+
+@query("""SELECT candidate_id FROM v_cand WHERE candidate_id NOT IN (
+  SELECT candidate_id FROM v_edge WHERE date < '2024-01-16') AND date_issued >= '2024-01-16'""")
+def prior_month_anti(spark, sf_dir):
+    old = matching.exact_edges(txns(spark, sf_dir).filter("date < '2024-01-16'"), cands(spark, sf_dir), POLICY).select(F.col("candidate_id").alias("prior")).distinct()
+    return exports.without_prior(cands(spark, sf_dir).withColumn("hash_file", F.lit(None).cast("string")), old).filter("date_issued >= '2024-01-16'").select("candidate_id")
+
+
+@query("""SELECT c.candidate_id FROM v_cand c WHERE EXISTS (SELECT 1 FROM v_txn t WHERE abs(c.total_amount - t.abs_amount) <= 0.01 AND t.date < '2024-01-08')
+  AND c.date_issued BETWEEN (SELECT min(date) FROM v_txn WHERE date < '2024-01-08') AND (SELECT max(date) FROM v_txn WHERE date < '2024-01-08')""")
+def supplemental_semi(spark, sf_dir):
+    t, c = txns(spark, sf_dir).filter("date < '2024-01-08'"), cands(spark, sf_dir)
+    none = c.select("candidate_id").limit(0)
+    return exports.supplemental(c, t, t.select(F.col("abs_amount").alias("needed")), POLICY.tolerance, none).select("candidate_id")
+
+
+# audits
+
+
+@query("""SELECT unnest(['document_type', 'issuing_party', 'date_issued', 'any']) AS field, unnest([
+  count(*) FILTER (document_type = '$UNKNOWN$'), count(*) FILTER (issuing_party = '$UNKNOWN$'), count(*) FILTER (date_issued = '$UNKNOWN$'),
+  count(*) FILTER (document_type = '$UNKNOWN$' OR issuing_party = '$UNKNOWN$' OR date_issued = '$UNKNOWN$')]) AS n FROM v_doc """)
+def audit_unknown(spark, sf_dir):
+    return audit.unknown_counts(records(spark, sf_dir))
+
+
+@query("""SELECT document_type, count(*) AS n FROM v_doc WHERE issuing_party = '$UNKNOWN$' GROUP BY 1 ORDER BY n DESC, document_type LIMIT 10""")
+def audit_cross_top(spark, sf_dir):
+    return audit.cross_top(records(spark, sf_dir), F.col("issuing_party") == text.UNKNOWN, "document_type")
+
+
+@query("""SELECT low, high, count(path) AS n FROM (VALUES (0.0::DOUBLE, 0.3::DOUBLE), (0.3, 0.5), (0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 0.95), (0.95, 1.01)) b(low, high)
+LEFT JOIN v_doc ON class_confidence >= low AND class_confidence < high GROUP BY 1, 2""")
+def audit_confidence_hist(spark, sf_dir):
+    return audit.confidence_histogram(records(spark, sf_dir))
+
+
+@query("SELECT path, class_confidence FROM v_doc WHERE class_confidence < 0.6 ORDER BY class_confidence, path LIMIT 20")
+def audit_lowest_confidence(spark, sf_dir):
+    return audit.lowest_confidence(records(spark, sf_dir))
+
+
+@query("""SELECT field, n FROM (SELECT 'issuing_party' AS field, count(*) FILTER (issuing_party IS NULL) AS n FROM v_doc UNION ALL
+  SELECT 'document_type', count(*) FILTER (document_type IS NULL) FROM v_doc UNION ALL SELECT 'total_amount', count(*) FILTER (total_amount IS NULL) FROM v_doc ) WHERE n > 0""")
+def audit_missing(spark, sf_dir):
+    return audit.missing_counts(records(spark, sf_dir), ("issuing_party", "document_type", "total_amount"))
+
+
+@query("""SELECT issuing_party AS value, count(*) AS n, round(count(*) * 100 / (SELECT count(*) FROM v_doc ), 1) AS percent FROM v_doc
+WHERE issuing_party IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 25""")
+def audit_distribution_top25(spark, sf_dir):
+    return audit.distribution(records(spark, sf_dir), "issuing_party")
+
+
+@query("""SELECT CASE WHEN date_issued = '$UNKNOWN$' THEN 'invalid' ELSE substr(date_issued, 1, 4) END AS year, count(*) AS n FROM v_doc GROUP BY 1""")
+def audit_years(spark, sf_dir):
+    return audit.year_counts(records(spark, sf_dir))
+
+
+@query("SELECT document_type, count(*) AS n, min(total_amount) AS least, max(total_amount) AS most FROM v_doc GROUP BY 1")
+def audit_amounts(spark, sf_dir):
+    return audit.amounts(records(spark, sf_dir), currency="document_type")
+
+
+@query("""SELECT field, count(*) FILTER (c > 1) AS n FROM (SELECT field, value, count(*) AS c FROM (
+  SELECT 'hash_content' AS field, hash_content AS value FROM v_file UNION ALL SELECT 'hash_text', hash_text FROM v_file ) WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
+def audit_duplicate_hashes(spark, sf_dir):
+    return audit.duplicate_hash_counts(files(spark, sf_dir), ("hash_content", "hash_text"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (document_type <> '$UNKNOWN$' AND issuing_party <> '$UNKNOWN$' AND date_issued <> '$UNKNOWN$') AS complete, count(total_amount) AS with_amount FROM v_doc """)
+def audit_totals(spark, sf_dir):
+    return audit.totals(records(spark, sf_dir))
+
+
+@query("""SELECT DISTINCT trim(issuing_party) AS value FROM v_doc WHERE issuing_party NOT IN ('$UNKNOWN$', '')""")
+def registry_values(spark, sf_dir):
+    return audit.known_values(records(spark, sf_dir), "issuing_party")
+
+
+@query("SELECT path, CASE WHEN starts_with(issuing_party, 'Party') THEN 'PARTY' || substr(issuing_party, 6) ELSE issuing_party END AS issuing_party FROM v_doc ")
+def registry_canonical(spark, sf_dir):
+    r = records(spark, sf_dir)
+    registry = audit.known_values(r.withColumn("issuing_party", F.upper("issuing_party")), "issuing_party").filter("value <> '$UNKNOWN$'")
+    return audit.canonical(r, "issuing_party", registry).select("path", "issuing_party")
+
+
+# rules
+
+
+@query("SELECT row, rule::BIGINT AS rule, CASE rule WHEN 0 THEN 'refund' WHEN 1 THEN 'credit' ELSE 'payment' END AS category FROM v_txn ")
+def classify_txn(spark, sf_dir):
+    return txns(spark, sf_dir).select("row", F.col("rule").cast("long").alias("rule"), "category")
+
+
+@query("""SELECT path, CASE WHEN document_type = 'invoice' AND total_amount >= 200000 THEN 'BIG_' WHEN lower(issuing_party) LIKE 'party 1%' THEN 'ONE_'
+  WHEN document_type IN ('tax-vat') THEN 'TAX_' ELSE 'DOC_' END AS prefix FROM v_doc """)
+def export_prefix(spark, sf_dir):
+    tests = [({"document_type": "invoice", "total_amount": ">=200000"}, "BIG_"), ({"issuing_party": "party 1*"}, "ONE_"), ({"document_type": "Tax VAT"}, "TAX_")]
+    return records(spark, sf_dir).select("path", rules.export_prefix(tests, {"total_amount": "double"}, "DOC_").alias("prefix"))
+
+
+@query("""SELECT path, CASE WHEN document_type = 'tax-vat' THEN 'tax_evidence' WHEN document_type = 'invoice' THEN CASE WHEN total_amount = 0 THEN 'ignore' ELSE 'supplier_evidence' END ELSE 'unknown' END AS family FROM v_doc """)
+def document_family(spark, sf_dir):
+    return records(spark, sf_dir).select("path", rules.family_of(F.col("document_type"), POLICY, F.col("total_amount")).alias("family"))
+
+
+@query("""SELECT path, CASE WHEN path % 5 = 0 THEN 'tax:PT' || (500000000 + o_custkey)::VARCHAR WHEN issuing_party IS NULL THEN '$UNKNOWN$' WHEN issuing_party = '$UNKNOWN$' THEN 'unknown' ELSE replace(lower(issuing_party), ' ', '-') END AS counterparty FROM v_doc """)
+def counterparty_id(spark, sf_dir):
+    tax = F.when(F.col("path") % 5 == 0, F.concat(F.lit(" "), (F.col("o_custkey") + 500000000).cast("string")))
+    return records(spark, sf_dir).select("path", rules.counterparty(tax, F.col("issuing_party"), F.lit(None).cast("string"), POLICY).alias("counterparty"))
+
+
+@query("SELECT candidate_id, document_type IN ('invoice', 'receipt', 'bank-note') AS fits FROM v_cand ")
+def type_pattern(spark, sf_dir):
+    return cands(spark, sf_dir).select("candidate_id", rules.type_matches(F.col("document_type"), "supplier-evidence|bank-n*", POLICY).alias("fits"))
+
+
+# matching
+
+
+@query("SELECT statement, row, candidate_id, days::BIGINT AS days, after FROM v_edge ")
+def band_edges(spark, sf_dir):
+    e = matching.exact_edges(txns(spark, sf_dir), cands(spark, sf_dir), POLICY)
+    return e.select("statement", "row", "candidate_id", F.col("rank.days").cast("long").alias("days"), F.col("rank.after").alias("after"))
+
+
+@query("SELECT statement, row, candidate_id FROM v_edge QUALIFY row_number() OVER (PARTITION BY statement, row ORDER BY days, after, file_name) = 1")
+def exact_nearest_top1(spark, sf_dir):
+    e = matching.exact_edges(txns(spark, sf_dir), cands(spark, sf_dir), POLICY)
+    return bands.first_by(e, matching.KEYS, [F.col("rank"), F.col("sort_name")]).select("statement", "row", "candidate_id")
+
+
+@query("SELECT statement, row, candidate_id FROM v_edge QUALIFY row_number() OVER (PARTITION BY statement, row, document_type, issuing_party ORDER BY days, after, file_name) = 1")
+def exact_signature_best(spark, sf_dir):
+    e = matching.exact_edges(txns(spark, sf_dir), cands(spark, sf_dir), POLICY)
+    return bands.first_by(e.withColumn("sig", matching.signature()), [*matching.KEYS, "sig"], [F.col("rank"), F.col("sort_name")]).select("statement", "row", "candidate_id")
+
+
+@query("SELECT statement, row, candidate_id FROM v_edge WHERE family = 'bank_anchor' QUALIFY rank() OVER (PARTITION BY statement, row ORDER BY days, after) = 1")
+def tied_bank_anchors(spark, sf_dir):
+    e = matching.exact_edges(txns(spark, sf_dir), cands(spark, sf_dir).filter("family = 'bank_anchor'"), POLICY)
+    return bands.tied_first(e, matching.KEYS, [F.col("rank")]).select("statement", "row", "candidate_id")
+
+
+@query()
+def exact_greedy_claim(spark, sf_dir):
+    return matching.exact_matches(txns(spark, sf_dir), cands(spark, sf_dir), POLICY)
+
+
+@query("""SELECT t.o_orderkey AS left_key, l.l_orderkey AS right_key, l.l_linenumber AS line FROM orders t JOIN lineitem l
+  ON abs(t.o_totalprice - l.l_extendedprice) <= 5.0 AND abs(datediff('day', t.o_orderdate, l.l_shipdate)) <= 30""")
+def band_orders_lineitem(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("left_key"), "o_totalprice", "o_orderdate")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("right_key"), F.col("l_linenumber").alias("line"), "l_extendedprice", "l_shipdate")  # noqa: E741
+    pairs = bands.band_join(o, l, "o_totalprice", "l_extendedprice", 5.0)
+    return pairs.filter(F.abs(F.datediff("o_orderdate", "l_shipdate")) <= 30).select("left_key", "right_key", "line")
+
+
+@query("""SELECT statement, date, count(*) AS n_rows, round(sum(abs_amount), 6) AS group_sum FROM v_txn GROUP BY 1, 2 HAVING count(DISTINCT CASE rule WHEN 0 THEN 'refund' WHEN 1 THEN 'credit' ELSE 'payment' END) FILTER (rule IN (1, 2)) >= 2 AND false
+UNION ALL SELECT statement, date, count(*), round(sum(abs_amount), 6) FROM v_txn WHERE rule IN (1, 2) GROUP BY 1, 2 HAVING count(DISTINCT rule) >= 2""")
+def companion_sum(spark, sf_dir):
+    t = txns(spark, sf_dir).filter(F.col("category").isin("credit", "payment"))
+    g = t.groupBy("statement", "date").agg(F.count("*").alias("n_rows"), F.round(F.sum("abs_amount"), 6).alias("group_sum"), F.countDistinct("category").alias("kinds"))
+    return g.filter("kinds >= 2").drop("kinds")
+
+
+@query()
+def companion_matches(spark, sf_dir):
+    t, c = txns(spark, sf_dir), cands(spark, sf_dir)
+    sums = c.withColumn("total_amount", F.col("total_amount") * 4)
+    return matching.companion_matches(t, sums, matching.exact_matches(t, c, POLICY), POLICY)
+
+
+@query("""SELECT t.statement, t.row, c.candidate_id FROM v_txn t JOIN v_cand c ON c.document_type = 'contract-signup' AND abs(datediff('day', t.date::DATE, c.date_issued::DATE)) <= 3
+WHERE t.rule = 2 QUALIFY row_number() OVER (PARTITION BY t.statement, t.row ORDER BY abs(datediff('day', t.date::DATE, c.date_issued::DATE)), datediff('day', t.date::DATE, c.date_issued::DATE) > 0, c.ord) = 1""")
+def shared_nearest(spark, sf_dir):
+    return matching.shared_matches(txns(spark, sf_dir), cands(spark, sf_dir), POLICY).select("statement", "row", "candidate_id")
+
+
+@query("""SELECT t.statement, t.row, c.candidate_id FROM v_txn t JOIN v_cand c ON c.counterparty = 'p7' AND substr(t.date, 1, 7) = substr(c.date_issued, 1, 7) AND abs(datediff('day', t.date::DATE, c.date_issued::DATE)) <= 3
+WHERE t.rule = 2 QUALIFY row_number() OVER (PARTITION BY t.statement, t.row ORDER BY abs(datediff('day', t.date::DATE, c.date_issued::DATE)), datediff('day', t.date::DATE, c.date_issued::DATE) > 0, c.ord) = 1""")
+def shared_period(spark, sf_dir):
+    t = txns(spark, sf_dir).filter("rule = 2").withColumns({"category": F.lit("supplier-payment"), "is_shared_period_row": F.lit(True)})
+    c = cands(spark, sf_dir).withColumn("is_shared_period", F.col("counterparty") == "p7")
+    return matching.shared_period_matches(t, c, t.select("statement", "row", F.lit("none").alias("candidate_id")), POLICY).select("statement", "row", "candidate_id")
+
+
+@query("""SELECT statement, row, candidate_id FROM (SELECT *, count(*) OVER (PARTITION BY statement, row) AS a, count(*) OVER (PARTITION BY candidate_id) AS b
+  FROM v_edge WHERE family = 'supplier_evidence') WHERE a = 1 AND b = 1""")
+def mutual_unique_support(spark, sf_dir):
+    e = matching.exact_edges(txns(spark, sf_dir), cands(spark, sf_dir).filter("family = 'supplier_evidence'"), POLICY)
+    return bands.only_pairs(e, matching.KEYS, ["candidate_id"]).select("statement", "row", "candidate_id")
+
+
+@query("""SELECT a.statement, a.row, c.candidate_id FROM (SELECT DISTINCT statement, row, date, abs_amount, counterparty FROM v_edge WHERE family = 'bank_anchor') a
+JOIN v_cand c ON c.counterparty = a.counterparty AND c.family = 'supplier_evidence' AND substr(a.date, 1, 7) = substr(c.date_issued, 1, 7)
+QUALIFY row_number() OVER (PARTITION BY a.statement, a.row, a.counterparty ORDER BY c.date_issued <> a.date, abs(a.abs_amount - c.total_amount), c.file_name) = 1""")
+def counterparty_evidence_top1(spark, sf_dir):
+    from dataclasses import replace
+
+    policy = replace(POLICY, rules=(Rule("bank-fee", required={"supplier-evidence": (1, None)}),), evidence_skip_categories=(), amount_optional_categories=("bank-fee",))
+    t, c = matching.classified(txns(spark, sf_dir), policy), cands(spark, sf_dir)
+    anchors = matching.exact_edges(t, c.filter("family = 'bank_anchor'"), POLICY).select("statement", "row", "candidate_id")
+    return matching.counterparty_matches(t, c, anchors, policy).select("statement", "row", "candidate_id")
+
+
+@query("""SELECT e.statement, min(e.row) AS row, c.candidate_id FROM v_edge e JOIN v_cand c
+  ON c.document_type = e.document_type AND c.issuing_party = e.issuing_party AND c.date_issued = e.date_issued AND c.ord % 5 = 0
+WHERE e.ord % 5 <> 0 AND (e.family = 'bank_anchor' OR (e.rule = 2 AND e.family IN ('supplier_evidence', 'contract_evidence'))) GROUP BY 1, 3""")
+def related_no_amount(spark, sf_dir):
+    t = txns(spark, sf_dir)
+    c = cands(spark, sf_dir).withColumn("total_amount", F.when(F.col("ord") % 5 != 0, F.col("total_amount")))
+    e = matching.exact_edges(t, c, POLICY).select("statement", "row", "candidate_id")
+    return matching.related_matches(t, c, e, POLICY).select("statement", "row", "candidate_id")
+
+
+@query()
+def reconcile_edges(spark, sf_dir):
+    return matching.reconcile(txns(spark, sf_dir).select("statement", "row", "date", "description", "amount", "currency", "party"), cands(spark, sf_dir), POLICY)
+
+
+# validation
+
+
+@query("""SELECT statement, row, count(*) FILTER (family = 'bank_anchor') AS anchors, count(*) FILTER (family = 'supplier_evidence') AS papers FROM v_edge WHERE rule = 2 GROUP BY 1, 2""")
+def pattern_counts(spark, sf_dir):
+    t, c = txns(spark, sf_dir), cands(spark, sf_dir)
+    e = matching.exact_edges(t, c, POLICY).select("statement", "row", "candidate_id")
+    n = validation.pattern_counts(e, t, c, POLICY).filter("rule = 2")
+    pick = lambda k: F.sum(F.when(F.col("number") == k, F.col("found")).otherwise(0))
+    return n.groupBy("statement", "row").agg(pick(0).alias("anchors"), pick(1).alias("papers"))
+
+
+@query("""WITH n AS (SELECT statement, row, rule, count(*) FILTER (family = 'bank_anchor') AS a, count(*) FILTER (family = 'supplier_evidence') AS p,
+  list_sort(list('unexpected ' || document_type || ' (' || file_name || ')') FILTER (rule < 2 AND family = 'contract_evidence')) AS odd FROM v_edge GROUP BY 1, 2, 3)
+SELECT statement, row, list_sort(list_filter(list_concat([
+  CASE WHEN a < 1 THEN 'missing bank-anchor (expected 1, found ' || a || ')' END,
+  CASE WHEN rule = 2 AND a > 1 THEN 'too many bank-anchor (expected max 1, found ' || a || ')' END,
+  CASE WHEN rule = 2 AND p < 1 THEN 'missing supplier-evidence (expected 1, found ' || p || ')' END], coalesce(odd, [])), lambda x: x IS NOT NULL)) AS errors
+FROM n WHERE len(list_filter(list_concat([CASE WHEN a < 1 THEN 1 END, CASE WHEN rule = 2 AND a > 1 THEN 1 END, CASE WHEN rule = 2 AND p < 1 THEN 1 END], coalesce(list_transform(odd, lambda x: 1), [])), lambda x: x IS NOT NULL)) > 0""")
+def validate_cardinality(spark, sf_dir):
+    t, c = txns(spark, sf_dir), cands(spark, sf_dir)
+    e = matching.exact_edges(t, c, POLICY).select("statement", "row", "candidate_id")
+    found = validation.match_errors(e, t, c, POLICY)
+    return found.select("statement", "row", F.array_sort(F.transform("errors", lambda x: x["message"])).alias("errors"))
+
+
+@query("SELECT candidate_id FROM v_cand WHERE candidate_id NOT IN (SELECT candidate_id FROM v_edge )")
+def unmatched_files(spark, sf_dir):
+    t, c = txns(spark, sf_dir), cands(spark, sf_dir)
+    return validation.unmatched_files(c, matching.exact_edges(t, c, POLICY)).select("candidate_id")
+
+
+@query("""SELECT t.statement, count(*) AS total, count(*) FILTER (m.row IS NOT NULL AND m.row % 3 <> 0) AS reconciled, count(*) FILTER (m.row IS NOT NULL AND m.row % 3 = 0) AS incomplete,
+  count(*) FILTER (m.row IS NULL) AS unmatched, 0::BIGINT AS unmatched_files, round(count(*) FILTER (m.row IS NOT NULL AND m.row % 3 <> 0) * 100 / count(*), 1) AS reconciliation_rate
+FROM v_txn t LEFT JOIN (SELECT DISTINCT statement, row FROM v_edge ) m ON m.statement = t.statement AND m.row = t.row GROUP BY 1""")
+def recon_summary(spark, sf_dir):
+    t, c = txns(spark, sf_dir), cands(spark, sf_dir)
+    e = matching.exact_edges(t, c, POLICY).select("statement", "row", "candidate_id")
+    bad = e.select("statement", "row").distinct().filter("row % 3 = 0")
+    return validation.summary(t, e, bad, e.select("statement").limit(0))
+
+
+@query("SELECT statement, candidate_id, count(*) AS matches FROM v_edge GROUP BY 1, 2 HAVING count(*) > 1")
+def redundant_matches(spark, sf_dir):
+    e = matching.exact_edges(txns(spark, sf_dir), cands(spark, sf_dir), POLICY).withColumn("stage", F.lit("exact"))
+    return validation.redundant(e)
+
+
+# ground truth
+
+
+@query("""SELECT statement, row, row_number() OVER (PARTITION BY statement, date, currency, (round(amount))::BIGINT ORDER BY row) AS occurrence FROM v_txn """)
+def occurrence_keys(spark, sf_dir):
+    t = txns(spark, sf_dir).withColumns({"amount": F.round("amount"), "description": F.lit("Pagamento  SERVIÇOS")})
+    return groundtruth.with_keys(t).select("statement", "row", F.col("occurrence").cast("long").alias("occurrence"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'rejected' WHEN l.doc_id IS NULL THEN 'open' WHEN l.quality = 1 THEN 'approved' ELSE 'changed' END AS status
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN labels l USING (doc_id)""")
+def approval_status(spark, sf_dir):
+    one = lambda c: F.array(F.struct(c.alias("hash_file"), c.alias("hash_content"), c.alias("file_name")))
+    labels = table(spark, sf_dir, "labels")
+    key = F.col("doc_id").cast("string")
+    rows = table(spark, sf_dir, "documents").select(key.alias("key_id"), "doc_id").distinct().withColumn("documents", one(F.col("key_id")))
+    approved = labels.select(key.alias("key_id"), one(F.when(F.col("quality") == 1, key).otherwise(F.lit("other"))).alias("documents"))
+    rejected = labels.filter("toxic = 1").select(key.alias("key_id"))
+    return groundtruth.statuses(rows, approved, rejected).select("doc_id", "status")
+
+
+@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN o.o_orderkey % 10 = 0 THEN 'missing' WHEN o.o_orderkey % 10 = 1 THEN 'extra' WHEN o.o_orderkey % 10 = 2 THEN 'changed' ELSE 'same' END AS verdict FROM orders o) GROUP BY 1""")
+def regression_diff(spark, sf_dir):
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    one = lambda c: F.array(F.struct(c.alias("hash_file"), c.alias("hash_content"), c.alias("file_name")))
+    last = F.col("o_orderkey") % 10
+    approved = o.filter(last != 1).select(key.alias("key_id"), one(key).alias("documents"))
+    current = o.filter(last != 0).select(key.alias("key_id"), one(F.when(last == 2, F.concat(key, F.lit("x"))).otherwise(key)).alias("documents"))
+    return groundtruth.regression(approved, current).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 9 ELSE quality END AS quality FROM labels")
+def approval_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return groundtruth.upserted(old, old.filter("doc_id % 3 = 0").withColumn("quality", F.lit(9)), ["doc_id"])
+
+
+# functions
+
+
+@query(r"""SELECT doc_id, regexp_replace(lower(strip_accents(left(text, 200))), '[^\p{L}\p{N}]+', '', 'g') AS compact, trim(regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
+def text_keys(spark, sf_dir):
+    head = F.substring("text", 1, 200)
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), text.compact_key(head)).alias("compact"), F.when(F.col("text").isNotNull(), text.slug(head)).alias("slug"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date_issued, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice' ELSE 'receipt' END AS document_type, o_custkey::VARCHAR AS issuer_tax_number, CASE WHEN o_totalprice > 0 THEN o_totalprice END AS total_amount, 'EUR' AS currency FROM orders""")
+def qr_parse(spark, sf_dir):
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "FT").otherwise("RC")
+    code = F.concat(F.lit("A:0*A:"), F.col("o_custkey").cast("string"), F.lit("*C:PT*D:"), kind, F.lit("*F:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("*B:x*G:n/1*O:"), F.col("o_totalprice").cast("string"))
+    m = qr.qr_metadata(code)
+    return table(spark, sf_dir, "orders").select("o_orderkey", m["date_issued"].alias("date_issued"), m["document_type"].alias("document_type"), m["issuer_tax_number"].alias("issuer_tax_number"), m["total_amount"].alias("total_amount"), m["total_amount_currency"].alias("currency"))
+
+
+@query("SELECT page_id, CASE WHEN url ILIKE 'http://%' OR url ILIKE 'https://%' THEN 'url' WHEN trim(url) <> '' THEN 'other' END AS kind FROM pages")
+def qr_kind(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", qr.qr_type(F.col("url")).alias("kind"))
+
+
+@query("""SELECT c_custkey, (CASE WHEN s % 11 < 2 THEN 0 ELSE 11 - s % 11 END) = n % 10 AS ok FROM (SELECT c_custkey, n,
+  list_sum(list_transform(range(0, 8), lambda i: (substr(n::VARCHAR, i::INT + 1, 1)::INT) * (9 - i)))::BIGINT AS s FROM (SELECT c_custkey, 100000000 + c_custkey * 7919 AS n FROM customer))""")
+def tax_checksum(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", identifiers.tax_checksum_ok((F.col("c_custkey") * 7919 + 100000000).cast("string")).alias("ok"))
+
+
+@query("""SELECT s_suppkey, 'acme-' || s_suppkey::VARCHAR || CASE WHEN s_suppkey % 3 = 0 THEN '-lda' ELSE '' END AS slug FROM supplier""")
+def company_slug(spark, sf_dir):
+    tail = F.when(F.col("s_suppkey") % 3 == 0, " Lda S.A.").otherwise(", Ltd. Inc.")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.company_slug(F.concat(F.lit("Ácme "), F.col("s_suppkey").cast("string"), tail)).alias("slug"))
+
+
+@query("SELECT p_partkey, p_retailprice AS dotted, p_retailprice AS comma, p_retailprice AS line FROM part")
+def number_text(spark, sf_dir):
+    plain = F.format_number("p_retailprice", 2)
+    euro = F.translate(plain, ",.", ".,")
+    return table(spark, sf_dir, "part").select("p_partkey", amounts.bank_amount(plain).alias("dotted"), amounts.bank_amount(euro).alias("comma"), amounts.euro_line(F.concat(euro, F.lit(" EUR"))).alias("line"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m') AS month, datediff('day', o_orderdate::DATE, DATE '1997-01-01')::BIGINT AS days,
+  CASE isodow(o_orderdate) WHEN 4 THEN o_orderdate::DATE + 4 WHEN 5 THEN o_orderdate::DATE + 4 WHEN 6 THEN o_orderdate::DATE + 3 ELSE o_orderdate::DATE + 2 END AS settled FROM orders""")
+def date_text(spark, sf_dir):
+    day = dates.bank_date(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("iso"), dates.calendar_month(day).alias("month"), dates.signed_days(day, F.lit("1997-01-01")).cast("long").alias("days"), dates.business_days_after(day, 2).alias("settled"))
+
+
+@query("""SELECT path, lower(concat_ws(' - ', CASE WHEN date_issued <> '$UNKNOWN$' THEN date_issued END, CASE WHEN document_type <> '$UNKNOWN$' THEN document_type END, CASE WHEN issuing_party <> '$UNKNOWN$' THEN issuing_party END, substr(md5(path::VARCHAR), 1, 8))) AS name FROM v_doc """)
+def file_names(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    r = records(spark, sf_dir)
+    return r.select("path", naming.file_name(F.col("date_issued"), F.col("document_type"), F.col("issuing_party"), none, none.cast("double"), none, F.substring(F.md5(F.col("path").cast("string")), 1, 8)).alias("name"))
+
+
+@query("""SELECT c_custkey, 'Party ' || (c_custkey % 40)::VARCHAR AS issuing_party FROM customer""")
+def issuer_normalized(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("The PARTY "), (F.col("c_custkey") % 40).cast("string"), F.lit(" Lda")).alias("raw"))
+    known = records(spark, sf_dir).filter("issuing_party LIKE 'Party%'").select("issuing_party")
+    every = known.unionByName(table(spark, sf_dir, "customer").select(F.concat(F.lit("Party "), (F.col("c_custkey") % 40).cast("string")).alias("issuing_party")))
+    return parties.normalized_issuers(names, every).select("c_custkey", "issuing_party")
+
+
+@query("""SELECT l_orderkey, l_linenumber, sum(l_extendedprice) OVER w AS near FROM lineitem WHERE l_orderkey <= 2000 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def page_window_amounts(spark, sf_dir):
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    page = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    text_lines = F.transform("l", lambda x: F.translate(F.format_number(x["l_extendedprice"], 2), ",.", ".,"))
+    page = page.withColumn("lines", text_lines).select("l_orderkey", "lines", F.posexplode("l").alias("i", "x"))
+    near = F.aggregate(lineitems.amounts_near(F.col("lines"), F.col("i"), 1, 1), F.lit(0.0), lambda a, v: a + v)
+    return page.select("l_orderkey", F.col("x.l_linenumber").alias("l_linenumber"), near.alias("near"))
+
+
+# review
+
+
+@query("SELECT row, statement FROM v_txn WHERE row % 4 = 0 AND date LIKE '2024-01%'")
+def review_queue(spark, sf_dir):
+    rows = txns(spark, sf_dir).withColumn("status", F.when(F.col("row") % 4 == 0, "open").otherwise("approved"))
+    return review.review_queue(rows, "2024-01").select("row", "statement")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', source, lang, text)), 'src1') AND contains(lower(concat_ws(' ', source, lang, text)), 'the')")
+def doc_search(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumns({"date_issued": F.lit("2024-01-01"), "document_type": F.lit("x"), "path": F.col("doc_id")})
+    return review.document_search(d, "SRC1 the", fields=("source", "lang", "text")).select("doc_id")
+
+
+@query("""SELECT month, sum(d)::BIGINT AS documents, sum(r)::BIGINT AS rows FROM (SELECT substr(date_issued, 1, 7) AS month, 1 AS d, 0 AS r FROM v_cand UNION ALL SELECT substr(date, 1, 7), 0, 1 FROM v_txn ) GROUP BY 1""")
+def snapshot_months(spark, sf_dir):
+    return review.snapshot_months(cands(spark, sf_dir), txns(spark, sf_dir))
