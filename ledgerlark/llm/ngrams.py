@@ -169,8 +169,27 @@ def key_batches(size: int, levels: Levels, range_bits: int):
     return run
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, node) edges that join what the edges a-b join, one for each node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
 def stars(key, table):
-    """For each key that several documents share, an edge from the least to each other."""
+    """Edges that join the documents of every shared key, one for each document of this range."""
     keys, docs = [], []
     for k, d, i in zip(table["keys"].to_pylist(), table["doc"].to_pylist(), table["ids"].to_pylist(), strict=True):
         keys.append(unpack_sorted(k))
@@ -180,8 +199,8 @@ def stars(key, table):
     keys, docs = keys[order], docs[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     least = np.repeat(docs[first], np.diff(np.append(first, len(keys))))
-    pair = np.unique(np.column_stack([least, docs])[least != docs], axis=0)
-    return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+    a, b = forest(least[least != docs], docs[least != docs])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 class CountTree:
@@ -292,7 +311,7 @@ def point_batches(size: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), block_members: int = 4096, range_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (4, 5), block_members: int = 4096, range_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     Words are cut at white space, A-Z lower-cased; a set holds the distinct
@@ -319,7 +338,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     edges = edges.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).filter("a <> b")
     clusters = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
-    points = saved(rows.join(clusters, "doc_id").select("cluster", "doc_id", "text").mapInArrow(point_batches(size), POINTS), "points")
+    # the texts are dealt out at any size, so that the plan does not turn on a table's size
+    points = saved(rows.join(clusters.hint("shuffle_hash"), "doc_id").select("cluster", "doc_id", "text").mapInArrow(point_batches(size), POINTS), "points")
     blocks = points.groupBy("cluster").agg(F.ceil(F.count("*") / block_members).cast("int").alias("blocks"))
     dealt = points.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long")))
