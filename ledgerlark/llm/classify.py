@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .kernels import Hasher, Words, mix, pieces, text_buffers
 
 #: Groups of identity terms; a term is swapped for the others of its group.
@@ -47,25 +48,55 @@ def features(words: Words) -> np.ndarray:
     return np.column_stack(cols)
 
 
-def sparse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct features by document (doc_id and label pass through)."""
+def distinct_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the distinct features of each document, in order."""
+    f = features(words)
+    row = np.repeat(np.arange(len(words.by_row) - 1), words.counts())
+    flat, rows = f.ravel(), np.repeat(row, f.shape[1])
+    order = np.lexsort((flat, rows))
+    flat, rows = flat[order], rows[order]
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = (flat[1:] != flat[:-1]) | (rows[1:] != rows[:-1])
+    fresh &= flat != 0
+    return rows[fresh], flat[fresh]
+
+
+def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents, and those of label 1, by feature; summed over some megabytes of text at a time."""
     hasher = Hasher("alnum")
     for batch in batches:
         data, offsets, _ = text_buffers(batch.column("text"))
-        for i, j in pieces(offsets):
-            words = hasher.words(data, offsets[i : j + 1])
-            f = features(words)
-            row = np.repeat(np.arange(j - i), words.counts())
-            flat, rows = f.ravel(), np.repeat(row, f.shape[1])
-            order = np.lexsort((flat, rows))
-            flat, rows = flat[order], rows[order]
-            fresh = np.ones(len(flat), bool)
-            fresh[1:] = (flat[1:] != flat[:-1]) | (rows[1:] != rows[:-1])
-            fresh &= flat != 0
-            flat, rows = flat[fresh], rows[fresh]
-            at = np.searchsorted(rows, np.arange(j - i + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), lists], names=["label", "features"])
+        label = np.asarray(batch.column("label"))
+        for i, j in pieces(offsets, 4 << 20):
+            row, feature = distinct_features(hasher.words(data, offsets[i : j + 1]))
+            keys, at, n = np.unique(feature, return_inverse=True, return_counts=True)
+            pos = np.bincount(at, label[i + row], minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(pos)], names=["feature", "n", "pos"])
+
+
+def chosen_batches(keys: np.ndarray, groups):
+    """By document: the numbers of its chosen features, and its sentences that name a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher("alnum")
+        named = np.unique(np.concatenate([term_key(t) for g in groups for t in g]))
+        for batch in batches:
+            data, offsets, _ = text_buffers(batch.column("text"))
+            for i, j in pieces(offsets):
+                row, feature = distinct_features(hasher.words(data, offsets[i : j + 1]))
+                naming = np.unique(row[np.isin(feature, named)])
+                number = np.searchsorted(keys, feature)
+                ok = number < len(keys)
+                ok[ok] = keys[number[ok]] == feature[ok]
+                row, number = row[ok], number[ok]
+                at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(number.astype(np.int32)))
+                said = [[] for _ in range(i, j)]
+                for k in naming.tolist():
+                    said[k] = sorted({x[0] for x in sentences_with_terms([batch.column("text")[i + k].as_py()], groups)})
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), lists, pa.array(said, pa.list_(pa.string()))], names=["label", "features", "sentences"])
+
+    return run
 
 
 @dataclass
@@ -120,42 +151,27 @@ def counterfactual_rows(texts: list[str], keys: np.ndarray, groups=IDENTITY_TERM
     return out
 
 
-def fit(labels: np.ndarray, docs: list[np.ndarray], texts: list[str], most_features: int = 20_000, least_docs: int = 3, l2: float = 0.1, fairness: float = 5.0, steps: int = 200, groups=IDENTITY_TERMS) -> Model:
-    """Logistic regression on the ``most_features`` features that tell the labels apart best.
+def term_key(term: str) -> np.ndarray:
+    """The whole-word feature of a term."""
+    data, offsets, _ = text_buffers(pa.array([term]))
+    return features(Hasher("alnum").words(data, offsets))[:, 0]
+
 
-    ``texts`` are labelled texts from which the counterfactual sentences come.
-    Adam with a fixed start, so fits repeat.  With one label only, or no rows,
+def fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, keys: np.ndarray, sentences: list[str], l2: float = 0.1, fairness: float = 5.0, steps: int = 200, groups=IDENTITY_TERMS) -> Model:
+    """Logistic regression on (row, col) features with a penalty on counterfactual changes.
+
+    Adam from a fixed start, so fits repeat.  With one label only, or no rows,
     the model is its bias.
     """
-    y = labels.astype(float)
+    y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0 if not len(y) or y[0] == 0 else 6.0)
-    flat = np.concatenate(docs)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    keys, col, count = np.unique(flat, return_inverse=True, return_counts=True)
-    pos = np.bincount(col, y[row], minlength=len(keys))
-    neg = count - pos
-    # signed chi-square of each feature's table
-    n1, n0 = y.sum(), len(y) - y.sum()
-    rate = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
-    worth = np.abs(rate[0] - rate[1]) / np.sqrt((pos + neg + 1) / (len(y) + 2) * (1 / n1 + 1 / n0))
-    worth[count < least_docs] = 0
-    worth[worth < 3.0] = 0
-    keep = np.sort(np.argsort(-worth, kind="stable")[: min(most_features, int((worth > 0).sum()))])
-    named = np.unique(np.concatenate([_term_keys(t) for g in groups for t in g]))
-    keep = np.union1d(keep, np.flatnonzero(np.isin(keys, named)))
-    new = np.full(len(keys), -1)
-    new[keep] = np.arange(len(keep))
-    used = new[col] >= 0
-    row, col, keys = row[used], new[col[used]], keys[keep]
-    if not len(keys):
-        return Model(keys, np.zeros(0), float(np.log(n1 / n0)))
-    swaps = counterfactual_rows(texts, keys, groups)
+    swaps = counterfactual_rows(sentences, keys, groups)
     swap_row = np.repeat(np.arange(len(swaps)), [len(a) + len(b) for a, b in swaps])
     swap_col = np.concatenate([np.concatenate([a, b]) for a, b in swaps]) if swaps else np.zeros(0, np.int64)
     swap_sign = np.concatenate([np.concatenate([-np.ones(len(a)), np.ones(len(b))]) for a, b in swaps]) if swaps else np.zeros(0)
 
-    w, bias = np.zeros(len(keys)), float(np.log(n1 / n0))
+    w, bias = np.zeros(len(keys)), float(np.log(y.sum() / (len(y) - y.sum())))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
         z = bias + np.bincount(row, w[col], minlength=len(y))
@@ -171,33 +187,55 @@ def fit(labels: np.ndarray, docs: list[np.ndarray], texts: list[str], most_featu
     return Model(keys, w, float(bias))
 
 
-def _term_keys(term: str) -> np.ndarray:
-    data, offsets, _ = text_buffers(pa.array([term]))
-    return np.unique(features(Hasher("alnum").words(data, offsets)))
-
-
-def train(docs: DataFrame, labels: DataFrame, learn: Column, most_rows: int = 20_000, most_bytes: int = 64 << 20, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", **options) -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    learn: Column,
+    most_rows: int = 20_000,
+    most_bytes: int = 96 << 20,
+    most_features: int = 20_000,
+    least_docs: int = 3,
+    least_worth: float = 3.0,
+    most_sentences: int = 2_000,
+    label_col: str = "toxic",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **options,
+) -> Model:
     """A model from labelled rows for which ``learn`` holds.
 
-    At most about ``most_rows`` rows and ``most_bytes`` of their text, the rows
-    of least xxhash64(doc_id), reach the driver (as feature sets).  Rows with a
-    null label or text are not learnt from.
+    The rows of least xxhash64(doc_id) are learnt from, about ``most_rows`` or
+    ``most_bytes`` of text at most.  Feature counts by label are summed by
+    Spark; the ``most_features`` that tell the labels apart best (two-sample z
+    of their rates) and the identity terms are kept, and only those numbers, and
+    at most ``most_sentences`` sentences with identity terms, reach the driver.
+    Rows with a null label or text are not learnt from; a row labelled twice
+    has the greater label.
     """
+    groups = options.get("groups", IDENTITY_TERMS)
     named = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).filter("label IS NOT NULL")
-    named = named.groupBy(id_col).agg(F.max("label").alias("label"))
-    rows = docs.select(id_col, F.col(text_col).alias("text")).filter(learn & F.col("text").isNotNull()).join(named, id_col)
-    rows = rows.withColumns({"hash": F.xxhash64(id_col), "bytes": F.octet_length("text")})
-    n, size = named.filter(learn).count(), docs.agg(F.avg(F.octet_length(text_col))).first()[0] or 0
+    named = named.groupBy(id_col).agg(F.max("label").alias("label")).filter(learn)
+    n, size = named.count(), docs.agg(F.avg(F.octet_length(text_col))).first()[0] or 0
     most = max(1, min(most_rows, int(most_bytes / max(1.0, size))))
     if n > most:  # the least hashes, as a share of the hash range
-        rows = rows.filter(F.col("hash") < int(-(1 << 63) + (1 << 64) * most / n))
-    got = rows.select("text", "label").mapInArrow(sparse_batches, "label int, features array<long>").toArrow()
-    y = np.asarray(got["label"].combine_chunks().to_numpy(zero_copy_only=False)) if got.num_rows else np.zeros(0)
-    lists = got["features"].combine_chunks() if got.num_rows else None
-    sets = [] if lists is None else np.split(np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)[1:-1])
-    terms = "|".join(re.escape(t) for g in options.get("groups", IDENTITY_TERMS) for t in g)
-    texts = [r[0] for r in rows.filter(F.col("text").rlike(rf"(?i)(?<!\w)(?:{terms})(?!\w)")).orderBy("hash").select("text").limit(500).collect()]
-    return fit(y, sets, texts, **options)
+        named = named.filter(F.xxhash64(id_col) < int(-(1 << 63) + (1 << 64) * most / n))
+    rows = docs.select(id_col, F.col(text_col).alias("text")).filter("text IS NOT NULL").join(named, id_col).select("text", "label")
+    rows = saved(rows, "labelled")
+    n0, n1 = (rows.agg(F.count_if(F.col("label") == k)).first()[0] for k in (0, 1))
+    if not n0 or not n1:
+        return fit(np.full(n0 + n1, float(n1 > 0)), *[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint64), [])
+    counts = rows.mapInArrow(count_batches, "feature long, n long, pos long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    gap = F.abs((F.col("pos") + 0.5) / (n1 + 1) - (F.col("n") - F.col("pos") + 0.5) / (n0 + 1))
+    worth = gap / F.sqrt((F.col("n") + 1) / (n0 + n1 + 2) * F.lit(1 / n1 + 1 / n0))
+    best = counts.filter(F.col("n") >= least_docs).withColumn("worth", worth).filter(F.col("worth") >= least_worth).orderBy(F.desc("worth"), "feature").limit(most_features)
+    keys = np.array([r["feature"] for r in best.select("feature").collect()], np.int64).view(np.uint64)
+    keys = np.union1d(keys, np.concatenate([term_key(t) for g in groups for t in g]))
+    got = rows.mapInArrow(chosen_batches(keys, groups), "label int, features array<int>, sentences array<string>").toArrow()
+    lists = got["features"].combine_chunks()
+    col = np.asarray(lists.flatten(), np.int64)
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    sentences = sorted(set(got["sentences"].combine_chunks().flatten().to_pylist()))[:most_sentences]
+    return fit(np.asarray(got["label"]), row, col, keys, sentences, **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
