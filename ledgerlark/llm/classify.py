@@ -157,9 +157,11 @@ def term_key(term: str) -> np.ndarray:
     return features(Hasher("alnum").words(data, offsets))[:, 0]
 
 
-def fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, keys: np.ndarray, sentences: list[str], l2: float = 0.1, fairness: float = 5.0, steps: int = 200, groups=IDENTITY_TERMS) -> Model:
+def fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, keys: np.ndarray, sentences: list[str], l2: float = 0.05, fairness: float = 5.0, balance: float = 0.5, steps: int = 200, groups=IDENTITY_TERMS) -> Model:
     """Logistic regression on (row, col) features with a penalty on counterfactual changes.
 
+    Rows of label 1 weigh (rows of 0 / rows of 1) ** ``balance``.
+
     Adam from a fixed start, so fits repeat.  With one label only, or no rows,
     the model is its bias.
     """
@@ -171,11 +173,13 @@ def fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, keys: np.ndarray, sente
     swap_col = np.concatenate([np.concatenate([a, b]) for a, b in swaps]) if swaps else np.zeros(0, np.int64)
     swap_sign = np.concatenate([np.concatenate([-np.ones(len(a)), np.ones(len(b))]) for a, b in swaps]) if swaps else np.zeros(0)
 
-    w, bias = np.zeros(len(keys)), float(np.log(y.sum() / (len(y) - y.sum())))
+    odds = y.sum() / (len(y) - y.sum())
+    weight = np.where(y == 1, odds**-balance, 1.0)
+    w, bias = np.zeros(len(keys)), float((1 - balance) * np.log(odds))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
         z = bias + np.bincount(row, w[col], minlength=len(y))
-        error = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
         grad = np.bincount(col, error[row], minlength=len(w)) + l2 * w
         if len(swaps):
             change = np.bincount(swap_row, swap_sign * w[swap_col], minlength=len(swaps))
@@ -195,7 +199,7 @@ def train(
     most_bytes: int = 96 << 20,
     most_features: int = 20_000,
     least_docs: int = 3,
-    least_worth: float = 3.0,
+    least_worth: float = 2.0,
     most_sentences: int = 2_000,
     label_col: str = "toxic",
     id_col: str = "doc_id",
