@@ -115,18 +115,16 @@ class Languages:
         of_row = rows[start]
         active = np.searchsorted(-left, -np.arange(block), "left")  # blocks longer than each step
         for k, table in enumerate(self.tables):
-            state, phrases = np.zeros(len(start), np.int32), np.ones(len(start), np.int32)
+            state, phrases = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
             for step in range(int(left[0])):
                 m = active[step]
                 c = symbols[start[:m] + step]
                 to = table[state[:m] * self.alphabet + c]
                 ended = to < 0
-                # a phrase ends before this letter, and the next one starts with it
-                fresh = np.where(ended, table[c], to)
-                phrases[:m] += ended & (state[:m] > 0)
-                lost = fresh < 0  # a letter the language does not have is a phrase of its own
-                phrases[:m] += lost & (state[:m] == 0)
-                state[:m] = np.where(lost, 0, fresh)
+                # a phrase starts with this letter: at the start, after a letter that the
+                # language lacks (a phrase of its own), or where the last one cannot go on
+                phrases[:m] += ended | (state[:m] == 0)
+                state[:m] = np.maximum(np.where(ended, table[c], to), 0)
             np.add.at(counts[:, k], of_row, phrases)
 
 

@@ -119,7 +119,7 @@ def mix(
     quotas = apportion(by_source.withColumn("__all", F.lit(0)), F.col("target"), F.round(F.col("total") / block), most_copies * F.col("n_blocks"), ["source"], ["__all"])
     quotas = quotas.select("source", F.col("quota").alias("source_quota"))
     cells = cells.alias("c").join(quotas.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source"))).select("c.*", "q.source_quota")
-    cells = apportion(cells, F.col("target") * F.col("cell_size") / F.col("source_size"), F.col("source_quota"), most_copies * F.col("n_blocks"), ["source", "shard"], ["source"])
+    cells = apportion(cells, F.coalesce(F.try_divide(F.col("target") * F.col("cell_size"), F.col("source_size")), F.lit(0.0)), F.col("source_quota"), most_copies * F.col("n_blocks"), ["source", "shard"], ["source"])
     offset = F.pmod(seeded(seed, F.lit("block"), F.coalesce("source", F.lit("null")), F.col("shard").cast("string")), F.greatest(F.col("n_blocks"), F.lit(1)))
     cells = saved(cells.select("source", "shard", "shards", "source_size", "target", "n_blocks", "quota", offset.alias("offset")), "mix-cells")
 
@@ -138,7 +138,7 @@ def mix(
 
 def _line(i: Column) -> Column:
     """Copies of all blocks before block i."""
-    n, q, u = F.col("n_blocks"), F.col("quota"), F.col("offset")
+    n, q, u = F.nullif(F.col("n_blocks"), F.lit(0)), F.col("quota"), F.col("offset")
     return F.floor(q * (i + u) / n) - F.floor(q * u / n)
 
 
