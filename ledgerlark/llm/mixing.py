@@ -109,15 +109,15 @@ def mix(
     words_of_shard = max(1, min(shard_words, total // 256))
 
     targets = source_targets(facts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_copies)
-    targets = targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / words_of_shard)))
+    targets = saved(targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / words_of_shard))), "mix-targets")
     shard_of = lambda i, n: F.pmod(seeded(seed, F.lit("shard"), i), n)
     cells = facts.alias("f").join(targets.alias("t"), F.col("f.source").eqNullSafe(F.col("t.source")))
     cells = cells.select("t.*", shard_of(F.col("id"), F.col("shards")).alias("shard"), "size")
     cells = cells.groupBy("source", "source_size", "target", "total", "shards", "shard").agg(F.sum("size").alias("cell_size"))
-    cells = cells.withColumn("n_blocks", F.ceil(F.col("cell_size") / block))
+    cells = saved(cells.withColumn("n_blocks", F.ceil(F.col("cell_size") / block)), "mix-shards")
     by_source = cells.groupBy("source", "source_size", "target", "total", "shards").agg(F.sum("n_blocks").alias("n_blocks"))
     quotas = apportion(by_source.withColumn("__all", F.lit(0)), F.col("target"), F.round(F.col("total") / block), most_copies * F.col("n_blocks"), ["source"], ["__all"])
-    quotas = quotas.select("source", F.col("quota").alias("source_quota"))
+    quotas = saved(quotas.select("source", F.col("quota").alias("source_quota")), "mix-quotas")
     cells = cells.alias("c").join(quotas.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source"))).select("c.*", "q.source_quota")
     cells = apportion(cells, F.coalesce(F.try_divide(F.col("target") * F.col("cell_size"), F.col("source_size")), F.lit(0.0)), F.col("source_quota"), most_copies * F.col("n_blocks"), ["source", "shard"], ["source"])
     offset = F.pmod(seeded(seed, F.lit("block"), F.coalesce("source", F.lit("null")), F.col("shard").cast("string")), F.greatest(F.col("n_blocks"), F.lit(1)))
