@@ -41,15 +41,25 @@ def from_fields(fields: list[Column], digest: Column, most: int = 60) -> Column:
     return F.concat_ws(" - ", *parts, digest)
 
 
+def _short(c: Column, most: Column) -> Column:
+    """The first ``most`` characters without trailing separators, unless nothing else is left."""
+    cut = F.substring(c, F.lit(1), most.cast("int"))
+    return F.when(F.length(c) <= most, c).otherwise(F.coalesce(F.nullif(F.regexp_replace(cut, r"[ \-_.]+$", ""), F.lit("")), cut))
+
+
 def fitted(name: Column, most: int, extension: str = ".pdf") -> Column:
-    """A name of ``a - b - c - ...`` parts brought to ``most`` characters: part 3 shrinks first, then 2, then 1."""
-    stem = F.regexp_replace(name, r"\.[^.]+$", "")
-    over = F.greatest(F.length(stem) - F.lit(most - len(extension)), F.lit(0))
+    """A PDF name brought to ``most`` characters, others as they are.
+
+    Of ``a - b - c - ... - z`` the first three parts and the last stay; the third
+    shrinks first, then the second, each to one character at least, then the
+    first.  A name of fewer than four parts is cut at the end.
+    """
+    stem = F.substring(name, F.lit(1), F.length(name) - len(extension))
+    parts = F.split(stem, " - ")
+    few = F.concat(_short(stem, F.lit(most - len(extension))), F.lit(extension))
+    p = [F.get(parts, F.lit(i)) for i in range(3)] + [F.element_at(parts, -1)]
     for i in (2, 1, 0):
-        parts = F.split(stem, " - ")
-        here = F.get(parts, F.lit(i))
-        left = F.greatest(F.length(here) - over, F.lit(1))
-        shrunk = F.array_join(F.transform(parts, lambda p, k: F.when(k == i, F.regexp_replace(F.substring(p, F.lit(1), left.cast("int")), r"[ \-_.]+$", "")).otherwise(p)), " - ")  # noqa: B023
-        stem = F.when((over > 0) & (F.size(parts) > i), shrunk).otherwise(stem)
-        over = F.greatest(F.length(stem) - F.lit(most - len(extension)), F.lit(0))
-    return F.concat(stem, F.lit(extension))
+        over = F.length(F.concat_ws(" - ", *p)) + len(extension) - most
+        p[i] = F.when(over > 0, _short(p[i], F.greatest(F.length(p[i]) - over, F.lit(1)))).otherwise(p[i])
+    fits = ~F.lower(name).endswith(extension) | (F.length(name) <= most)
+    return F.when(fits, name).when(F.size(parts) < 4, few).otherwise(F.concat(F.concat_ws(" - ", *p), F.lit(extension)))

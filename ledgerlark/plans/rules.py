@@ -54,13 +54,13 @@ def value_matches(c: Column, pattern, kind: str = "string", profile: dict[str, s
     low = F.lower(c.cast("string"))
     if text.endswith("*"):
         head = text[:-1].lower()
-        return F.coalesce(F.startswith(low, F.lit(head)) | F.startswith(slug(low), slug(F.lit(head))), false())
+        return c.isNotNull() & F.coalesce(F.startswith(low, F.lit(head)) | F.startswith(slug(low), slug(F.lit(head))), false())
     if kind in ("int", "long", "double", "bigint"):
         try:
             return F.coalesce(number == F.lit(float(text)), false())
         except ValueError:
             return false()
-    return F.coalesce((low == text.lower()) | (slug(low) == slug(F.lit(text.lower()))), false())
+    return c.isNotNull() & F.coalesce((low == text.lower()) | (slug(low) == slug(F.lit(text.lower()))), false())
 
 
 def in_family(doc_type: Column, policy: Policy, family: str) -> Column:
