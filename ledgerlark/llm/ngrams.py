@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codecs import pack_sorted, planes, unpack_sorted, unplanes
@@ -249,13 +249,17 @@ def tree_pairs(x: dict, y: dict, t: Fraction) -> Iterator[tuple[np.ndarray, np.n
             todo += [(a, c) for c in b["children"]]
 
 
-def link(sets: list[np.ndarray], side: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
-    """Verified links that join all members linked by any (a forest); only across sides if there are two."""
+def link(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
+    """Verified links that join all members linked by any (a forest).
+
+    Members of one ``label`` are joined already.  With two sides only pairs
+    across them count.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     points = np.zeros((len(sets), DIMS), np.uint32)
     for k, s in enumerate(sets):
         points[k] = np.bincount((mix(s ^ np.uint64(0x7F4A7C15)) >> np.uint64(58)).astype(np.int64), minlength=DIMS)
-    label, found = np.arange(len(sets)), []
+    label, found = np.unique(label, return_inverse=True)[1], []
     parts = [np.flatnonzero(side == s) for s in np.unique(side)]
     trees = [CountTree(points[p], sizes[p]) for p in parts]
     for left, right in tree_pairs(trees[0].root, trees[-1].root, t):
@@ -290,14 +294,52 @@ def linker(num: int, den: int):
     def run(key, table):
         ids = np.asarray(table["doc_id"].combine_chunks())
         sets = [unpack_sorted(x) for x in table["shingles"].to_pylist()]
-        left, right = key[1].as_py(), key[2].as_py()
-        block = np.asarray(table["block"].combine_chunks())
-        found = link(sets, block if left != right else np.zeros(len(sets), np.int64), t) if len(sets) > 1 else []
+        side, label = (np.asarray(table[c].combine_chunks()) for c in ("side", "label"))
+        found = link(sets, side, label, t) if len(sets) > 1 else []
         return pa.table({"a": pa.array([ids[u] for u, _ in found], pa.int64()), "b": pa.array([ids[v] for _, v in found], pa.int64())})
 
     return run
 
 
+def cluster_links(points: DataFrame, t: Fraction, block_members: int, pivots: int = 8) -> DataFrame:
+    """Links (a, b) that join what is linked inside each cluster of ``points`` (cluster, doc_id, shingles).
+
+    A cluster of up to ``block_members`` is one group.  A larger one is joined
+    inside its blocks first, then through some ``pivots`` of each part so far;
+    what has come together needs no more tests.  Only points outside the
+    cluster's largest part are then held against every block, so that a large
+    group of like texts costs what its size costs, and no pair is left out.
+    """
+    run = lambda df: df.groupBy("cluster", "left", "right").applyInArrow(linker(t.numerator, t.denominator), "a long, b long")
+    zero = F.lit(0).cast("long")
+    blocks = points.groupBy("cluster").agg(F.ceil(F.count("*") / block_members).cast("long").alias("blocks"))
+    dealt = points.join(blocks, "cluster").withColumn("left", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    links = saved(run(dealt.select("cluster", "left", zero.alias("right"), zero.alias("side"), F.col("doc_id").alias("label"), "doc_id", "shingles")), "links")
+    large = dealt.filter("blocks > 1")
+    if large.isEmpty():
+        return links
+
+    def labelled(known: DataFrame) -> DataFrame:
+        named = components(known).select(F.col("node").alias("doc_id"), "component")
+        return large.join(named, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+    some = Window.partitionBy("cluster", "label").orderBy(F.xxhash64("doc_id"))
+    heads = labelled(links).withColumn("place", F.row_number().over(some)).filter(F.col("place") <= pivots)
+    wide = F.ceil(F.count("*").over(Window.partitionBy("cluster")) / block_members)
+    heads = heads.withColumn("wide", wide).withColumn("left", F.pmod(F.xxhash64("label"), F.col("wide")))
+    links = saved(links.unionByName(run(heads.select("cluster", "left", zero.alias("right"), zero.alias("side"), "label", "doc_id", "shingles"))), "links")
+
+    now = saved(labelled(links), "large-clusters")
+    main = now.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    apart = now.join(main, "cluster").filter("label <> main")
+    slices = apart.groupBy("cluster").agg(F.ceil(F.count("*") / block_members).cast("long").alias("slices"))
+    upto = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
+    columns = ["cluster", "left", "right", "side", "label", "doc_id", "shingles"]
+    one = now.join(slices, "cluster").withColumn("right", upto("slices")).withColumn("side", zero)
+    two = apart.join(slices, "cluster").withColumn("right", F.pmod(F.xxhash64("doc_id"), F.col("slices"))).withColumn("left", upto("blocks")).withColumn("side", F.lit(1).cast("long"))
+    return links.unionByName(run(one.select(*columns).unionByName(two.select(*columns))))
+
+
 def point_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher("lower")
@@ -318,8 +360,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     shingles of ``size`` words, or the whole of a shorter text.  Documents whose
     sets have a Jaccard similarity of ``threshold`` (as a fraction) or more are
     linked; a component is named by its least doc_id.  A document without words
-    has an empty set and no links; rows of one doc_id are one node.  A cluster
-    of more than ``block_members`` points is joined block by block.
+    has an empty set and no links; rows of one doc_id are one node.  For large
+    clusters see :func:`cluster_links`.
     """
     t = Fraction(*threshold)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -340,11 +382,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
 
     # the texts are dealt out at any size, so that the plan does not turn on a table's size
     points = saved(rows.join(clusters.hint("shuffle_hash"), "doc_id").select("cluster", "doc_id", "text").mapInArrow(point_batches(size), POINTS), "points")
-    blocks = points.groupBy("cluster").agg(F.ceil(F.count("*") / block_members).cast("int").alias("blocks"))
-    dealt = points.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long")))
-    dealt = dealt.withColumn("other", other).select("cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "shingles")
-    links = dealt.groupBy("cluster", "left", "right").applyInArrow(linker(t.numerator, t.denominator), "a long, b long")
+    links = cluster_links(points, t, block_members)
     found = components(links)
     named = sets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

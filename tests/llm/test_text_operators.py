@@ -124,6 +124,19 @@ def test_jaccard(spark, size, num, den):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, size, num, den)
 
 
+def test_large_clusters_lose_no_link(spark):
+    """A cluster in many blocks: two dense groups, a bridge between them, and points on their own."""
+    base, rows = words(31, 300), []
+    for k in range(40):
+        rows.append((k, " ".join(base[: 250 + k % 5])))
+    far = base[:160] + words(33, 100)
+    for k in range(25):
+        rows.append((100 + k, " ".join(far[: 250 + k % 7])))
+    rows += [(200, " ".join(base[:205] + words(33, 100)[45:])), (201, " ".join(base[:120]))]
+    got = ngrams.jaccard_components(frame(spark, rows), size=2, threshold=(7, 10), block_members=4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 2, 7, 10)
+
+
 def test_jaccard_edge_tables(spark):
     assert ngrams.jaccard_components(frame(spark, corpus()).limit(0)).count() == 0
     got = ngrams.jaccard_components(frame(spark, [(4, "x y z"), (4, "x y z"), (None, None), (2, "")])).collect()
@@ -150,7 +163,7 @@ def test_count_tree_prunes_only_what_cannot_link():
     rng = np.random.default_rng(0)
     base = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(6)]
     sets = [np.unique(np.concatenate([b[:-k] if k else b, rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for b in base for k in range(20)]
-    found = ngrams.link(sets, np.zeros(len(sets), np.int64), Fraction(9, 10))
+    found = ngrams.link(sets, np.zeros(len(sets), np.int64), np.arange(len(sets)), Fraction(9, 10))
     label = list(range(len(sets)))
     for u, v in found:
         label = [label[u] if x == label[v] else x for x in label]
