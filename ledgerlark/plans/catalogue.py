@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, identifiers, naming, qr, text
-from ..operators import audit, bands, dedup, evidence, exports, groundtruth, lineitems, matching, parties, review, validation
+from ..operators import audit, bands, dedup, evidence, exports, groundtruth, lineitems, matching, parties, review, sync, validation
 from . import rules
 from .policy import Policy, Rule
 
@@ -620,3 +620,77 @@ def doc_search(spark, sf_dir):
 @query("""SELECT month, sum(d)::BIGINT AS documents, sum(r)::BIGINT AS rows FROM (SELECT substr(date_issued, 1, 7) AS month, 1 AS d, 0 AS r FROM v_cand UNION ALL SELECT substr(date, 1, 7), 0, 1 FROM v_txn ) GROUP BY 1""")
 def snapshot_months(spark, sf_dir):
     return review.snapshot_months(cands(spark, sf_dir), txns(spark, sf_dir))
+
+
+# resync and action plans
+
+
+@query("""SELECT path FROM v_doc WHERE path % 10 = 0 OR document_type = '$UNKNOWN$' OR issuing_party = '$UNKNOWN$' OR date_issued = '$UNKNOWN$'""")
+def sync_targets(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return sync.sync_targets(r.select("path"), r.filter("path % 10 <> 0"), unknown=True)
+
+
+@query("""SELECT CASE WHEN path % 10 = 0 THEN 'added' WHEN path % 10 = 1 THEN 'changed' WHEN path % 10 = 2 THEN 'renamed' ELSE 'unchanged' END AS state, count(*) AS n FROM v_doc GROUP BY 1""")
+def resync_diff(spark, sf_dir):
+    new = records(spark, sf_dir).withColumn("file_name", F.col("path").cast("string"))
+    old = new.filter("path % 10 <> 0").withColumns({"total_amount": F.when(F.col("path") % 10 == 1, F.lit(-1.0)).otherwise(F.col("total_amount")), "file_name": F.when(F.col("path") % 10 == 2, "old").otherwise(F.col("file_name"))})
+    return sync.resync_diff(old, new, ("total_amount", "issuing_party"))
+
+
+@query("""SELECT hash_content, path AS move, min_path AS keep, 'dupes/' || path::VARCHAR AS target FROM (
+  SELECT *, first_value(path) OVER (PARTITION BY hash_content ORDER BY size, path) AS min_path FROM v_file WHERE hash_content IS NOT NULL) WHERE path <> min_path AND hash_content < '8'""")
+def move_plan(spark, sf_dir):
+    f = files(spark, sf_dir).filter("hash_content IS NOT NULL")
+    g = dedup.groups_of(f, ["hash_content"], "path", "size")
+    return sync.move_plan(dedup.duplicate_members(f, g, ["hash_content"], "path"), g.filter("hash_content < '8'"), ["hash_content"], "dupes")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice' WHEN o_orderkey % 3 = 0 THEN 'tax-x' ELSE '$UNKNOWN$' END AS document_type, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2000-01-01' END AS date_issued,
+  CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS class_confidence FROM orders""")
+def classify_documents(spark, sf_dir):
+    none, key = F.lit(None).cast("string"), F.col("o_orderkey")
+    code = F.when(key % 2 == 0, F.concat(F.lit("A:1*B:2*D:FT*F:"), F.date_format("o_orderdate", "yyyyMMdd")))
+    raw = F.when((key % 2 == 1) & (key % 3 == 0), "vat paper")
+    given = F.struct(F.lit("2000-01-01").alias("date_issued"), none.alias("document_type"), none.alias("issuer_tax_number"), none.cast("double").alias("total_amount"), none.alias("total_amount_currency"), none.alias("issuing_party"), raw.alias("document_type_raw"), none.alias("document_title"), F.lit(0.5).alias("class_confidence"))
+    d = table(spark, sf_dir, "orders").select(key, code.alias("qr_text"), given.alias("extracted"))
+    return sync.classified_documents(d, [{"any": ["vat"], "type": "tax-x"}]).select("o_orderkey", "document_type", "date_issued", "class_confidence")
+
+
+@query("SELECT hash_content AS hash_file, max(path) AS path FROM v_file WHERE hash_content < '4' GROUP BY 1")
+def archive_by_hash(spark, sf_dir):
+    f = files(spark, sf_dir).withColumn("hash_file", F.col("hash_content"))
+    return exports.archived(f, f.select("hash_file").filter("hash_file < '4'").distinct())[0]
+
+
+@query("SELECT substr(sha256(string_agg(path::VARCHAR || ':' || hash_content, chr(10) ORDER BY path::VARCHAR || ':' || hash_content)), 1, 16) AS digest FROM v_file WHERE path < 50 AND hash_content IS NOT NULL")
+def directory_digest(spark, sf_dir):
+    f = files(spark, sf_dir).filter("path < 50 AND hash_content IS NOT NULL").withColumn("path", F.col("path").cast("string"))
+    return dedup.table_digest(f, "path", "hash_content")
+
+
+@query("SELECT file_name, length(file_name) AS name_length FROM v_cand WHERE length(file_name) > 11")
+def long_names(spark, sf_dir):
+    return audit.long_names(cands(spark, sf_dir), most=11).select("file_name", F.col("name_length").cast("long").alias("name_length"))
+
+
+@query("SELECT path, CASE WHEN path % 9 = 0 THEN 'missing file' WHEN path % 9 = 1 THEN 'file hash differs' WHEN path % 9 = 2 THEN 'content hash differs' ELSE 'ok' END AS fault FROM v_doc ")
+def hash_integrity(spark, sf_dir):
+    r = records(spark, sf_dir).select("path", F.col("path").cast("string").alias("hash_file"), F.lit("c").alias("hash_content"))
+    last = F.col("path") % 9
+    f = r.filter(last != 0).withColumns({"hash_file": F.when(last == 1, "x").otherwise(F.col("hash_file")), "hash_content": F.when(last == 2, "x").otherwise(F.col("hash_content"))})
+    return audit.integrity(r, f)
+
+
+@query("""SELECT candidate_id AS target, b.cid AS attachment FROM v_edge a JOIN (SELECT statement AS s, row AS r, candidate_id AS cid, family AS f FROM v_edge) b
+  ON a.statement = b.s AND a.row = b.r AND a.candidate_id <> b.cid WHERE a.family = 'bank_anchor' AND b.f = 'supplier_evidence'""")
+def merge_pairs(spark, sf_dir):
+    t, c = txns(spark, sf_dir), cands(spark, sf_dir)
+    return validation.merge_pairs(matching.exact_edges(t, c, POLICY).select("statement", "row", "candidate_id"), c, [("bank-anchor", "supplier-evidence")], POLICY).select("target", "attachment")
+
+
+@query("""SELECT l.doc_id AS left_id, r.doc_id AS right_id FROM labels l JOIN labels r ON l.doc_id = r.doc_id WHERE l.quality = 1
+UNION SELECT l.doc_id, r.doc_id FROM labels l JOIN labels r ON l.doc_id // 2 = r.doc_id // 2 WHERE l.quality = 1""")
+def same_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").cast("string").alias("hash_file"), F.floor(F.col("doc_id") / 2).cast("string").alias("hash_content"), F.lit(None).cast("string").alias("file_name"), "quality")
+    return groundtruth.same_document(d.filter("quality = 1"), d).select(F.col("l_doc_id").alias("left_id"), F.col("r_doc_id").alias("right_id")).distinct()

@@ -162,3 +162,22 @@ def test_streaming_keeps_first_content(spark, tmp_path):
     put(tmp_path / "in", "d.json", record(hash_content="3"))
     ingest.ingest(spark, source, out, checkpoint).awaitTermination()
     assert sorted(r.hash_content for r in spark.read.parquet(out).collect()) == ["1", "2", "3"]
+
+
+def test_sync_and_classification(spark):
+    from ledgerlark.functions.qr import is_invoice_qr
+    from ledgerlark.operators import sync
+
+    texts = spark.createDataFrame([(["A:1*B:2*F:20260101", "A:1*B:2*F:20260102", "x"],), (["A:1*B:2"],)], "t array<string>")
+    got = [r[0] for r in texts.select(sync.sub_documents(F.col("t"))).collect()]
+    assert [p.date_issued for p in got[0]] == ["2026-01-01", "2026-01-02"] and got[1] is None
+    assert texts.select(is_invoice_qr(F.col("t")[0])).first()[0]
+    pairs = spark.createDataFrame([("s", 1, "a", 10.0, 10.0), ("s", 2, "b", 10.0, 11.0)], "statement string, row long, candidate_id string, abs_amount double, total_amount double")
+    assert sync.suggested_matches(pairs, None, 0.01).count() == 0
+    assert [r.row for r in sync.suggested_matches(pairs, lambda p: p, 0.01).collect()] == [1]
+    moves = spark.createDataFrame([("g", "x/a.pdf"), ("g", "y/a.pdf"), ("h", "z/b.pdf")], "k string, move string")
+    plan = sync.move_plan(moves, moves.filter("k = 'g'"), ["k"], "out")
+    assert sorted(r.target for r in plan.collect()) == ["out/a.pdf", "out/a_1.pdf"]
+    keys = spark.createDataFrame([('{"hash_text": null}', None), ("{}", None)], "raw string, hash_text string")
+    filled = sync.backfilled(keys, "hash_text", sidecars.has_key(F.col("raw"), "hash_text"), F.lit("new"))
+    assert [r.hash_text for r in filled.collect()] == [None, "new"]
