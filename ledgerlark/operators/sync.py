@@ -67,7 +67,7 @@ def classified_documents(docs: DataFrame, overrides: list[dict] = (), registry:
 
 def sub_documents(qr_texts: Column) -> Column:
     """The invoice QR texts of a document as parts, where there are two or more."""
-    parts = F.transform(F.filter(qr_texts, is_invoice_qr), qr_metadata)
+    parts = F.transform(F.filter(qr_texts, is_invoice_qr), lambda t: qr_metadata(t))
     return F.when(F.size(parts) >= 2, parts)
 
 
