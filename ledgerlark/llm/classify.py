@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .kernels import Hasher, Words, mix, pieces, text_buffers
+from .kernels import Hasher, Words, mix, pieces, returned, text_buffers
 
 #: Groups of identity terms; a term is swapped for the others of its group.
 IDENTITY_TERMS = (
@@ -72,6 +72,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             keys, at, n = np.unique(feature, return_inverse=True, return_counts=True)
             pos = np.bincount(at, label[i + row], minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(pos)], names=["feature", "n", "pos"])
+    returned()
 
 
 def chosen_batches(keys: np.ndarray, groups):
@@ -95,6 +96,7 @@ def chosen_batches(keys: np.ndarray, groups):
                 for k in naming.tolist():
                     said[k] = sorted({x[0] for x in sentences_with_terms([batch.column("text")[i + k].as_py()], groups)})
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), lists, pa.array(said, pa.list_(pa.string()))], names=["label", "features", "sentences"])
+        returned()
 
     return run
 
@@ -253,6 +255,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
         for i, j in pieces(offsets):
             found.append(model.logits(hasher.words(data, offsets[i : j + 1])))
         z = np.concatenate(found) if found else np.zeros(0)
+        returned()
         return pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())
 
     return docs.withColumn(out, scored(F.col(text_col)))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .codecs import pack_sorted, planes, unpack_sorted, unplanes
 from .common import saved, text_bytes
 from .graphs import components
-from .kernels import Hasher, mix, pieces, text_buffers, window_starts
+from .kernels import Hasher, mix, pieces, returned, text_buffers, window_starts
 
 DIMS = 64
 LEAF = 32
@@ -75,6 +75,7 @@ def set_batches(size: int):
                 s = Shingles(hasher, data, offsets[i : j + 1], size)
                 cols = [s.counts(), s.sums(0x1B873593).view(np.int64), s.sums(0xCC9E2D51).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i)] + [pa.array(c, pa.int64()) for c in cols], names=["doc_id", "n_shingles", "sig_a", "sig_b"])
+        returned()
 
     return run
 
@@ -165,6 +166,7 @@ def key_batches(size: int, levels: Levels, range_bits: int):
             if out:
                 kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["range", "keys", "doc", "ids"])
+        returned()
 
     return run
 
@@ -200,6 +202,8 @@ def stars(key, table):
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     least = np.repeat(docs[first], np.diff(np.append(first, len(keys))))
     a, b = forest(least[least != docs], docs[least != docs])
+    del keys, docs, least, order
+    returned()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -349,6 +353,7 @@ def point_batches(size: int):
                 s = Shingles(hasher, data, offsets[i : j + 1], size)
                 blobs = [pack_sorted(s.values[a:b]) for a, b in zip(s.at[:-1], s.at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("cluster").slice(i, j - i), batch.column("doc_id").slice(i, j - i), pa.array(blobs, pa.binary())], names=["cluster", "doc_id", "shingles"])
+        returned()
 
     return run
 

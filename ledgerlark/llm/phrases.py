@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .codecs import pack_sorted, planes, unpack_sorted, unplanes
 from .common import saved, text_bytes
-from .kernels import Hasher, pieces, ragged, text_buffers
+from .kernels import Hasher, pieces, ragged, returned, text_buffers
 
 INDEX = "doc_ids array<long>, words binary, terms binary, counts binary, postings binary"
 MATCHES = "doc_id long, n_words long, n_hit long, hits array<struct<item: string, start: long, end: long>>"
@@ -54,6 +54,7 @@ def index_batches(segment_bytes: int):
                 kinds = [pa.list_(pa.int64())] + [pa.binary()] * 4
                 names = [x.split()[0] for x in INDEX.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+        returned()
 
     return build
 
@@ -203,6 +204,7 @@ def lookup(phrases, within: int | None):
                 s = Segment(batch.slice(i, 1).to_pylist()[0])
                 window, at = s.phrases(p) if within is None else s.near(p, within)
                 yield s.report(p, window, at, p.length[window] if within is None and len(window) else np.ones(len(window), np.int64))
+        returned()
 
     return run
 

@@ -13,9 +13,10 @@ Only cells reach the driver: about ``probes`` and one for each ``cell_bytes``.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -31,23 +32,16 @@ def _edges(first: tuple[int, int], last: tuple[int, int], parts: int) -> list[tu
     return [first] + [(c, LEAST) if axis == 0 else (first[0], c) for c in cuts]
 
 
-def cell_of(edges: list[tuple[int, int]]):
-    """Pandas UDF (k1, k2) -> number of the cell whose lower bound is the last at or below the key."""
-    e1 = np.array([e[0] for e in edges], np.int64)
-    e2 = np.array([e[1] for e in edges], np.int64)
+def constant(rows: list[tuple[int, int]]) -> Column:
+    """An array of (a, b) pairs as one literal, which the optimiser folds."""
+    return F.from_json(F.lit(json.dumps([{"a": int(x), "b": int(y)} for x, y in rows])), "array<struct<a: bigint, b: bigint>>")
 
-    @F.pandas_udf("int")
-    def place(k1: pd.Series, k2: pd.Series) -> pd.Series:
-        a, b = k1.to_numpy(np.int64), k2.to_numpy(np.int64)
-        low = np.searchsorted(e1, a, "left")
-        out = np.searchsorted(e1, a, "right")
-        tied = np.flatnonzero(low < out)
-        for i in np.unique(low[tied]):
-            rows = tied[low[tied] == i]
-            out[rows] = i + np.searchsorted(e2[i : out[rows[0]]], b[rows], "right")
-        return pd.Series(out - 1, dtype="int32")
 
-    return place
+def cell_of(edges: list[tuple[int, int]], k1: str = "k1", k2: str = "k2") -> Column:
+    """Number of the cell of a key: the last whose lower bound is at or below the key, by binary search."""
+    bounds, key = constant(edges), F.struct(F.col(k1).alias("a"), F.col(k2).alias("b"))
+    steps = F.array(*[F.lit(1 << i) for i in range(max(1, len(edges) - 1).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(bounds, i + s) <= key, i + s).otherwise(i))
 
 
 def _after(key: tuple[int, int]) -> tuple[int, int]:
@@ -63,7 +57,7 @@ def histogram_cells(keys: DataFrame, tolerance: float, probes: int) -> list[tupl
         edges = sorted({*live, *closed, (LEAST, LEAST)})
         counted = set(live)
         got = (
-            keys.groupBy(cell_of(edges)("k1", "k2").alias("cell"))
+            keys.groupBy(cell_of(edges).alias("cell"))
             .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi"))
             .collect()
         )
@@ -126,19 +120,13 @@ def shard(
     if not cells:
         return docs.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")}).limit(0)
     edges = [c[0] for c in cells]
-    numbers = np.array(of_cell, np.int32)
-    starts = np.array(first, np.int64)
-
-    @F.pandas_udf("struct<shard int, first long>")
-    def facts(cell: pd.Series) -> pd.DataFrame:
-        i = cell.to_numpy()
-        return pd.DataFrame({"shard": numbers[i], "first": starts[i]})
+    facts = constant(list(zip(of_cell.tolist(), first, strict=True)))
 
     inside = Window.partitionBy("__cell").orderBy("__k1", "__k2")
     placed = (
-        rows.withColumn("__cell", cell_of(edges)("__k1", "__k2"))
+        rows.withColumn("__cell", cell_of(edges, "__k1", "__k2"))
         .withColumn("__row", F.row_number().over(inside))
-        .withColumn("__facts", facts("__cell"))
-        .withColumns({"shard": F.col("__facts.shard"), "slot": F.col("__facts.first") + F.col("__row") - 1})
+        .withColumn("__facts", F.get(facts, F.col("__cell")))
+        .withColumns({"shard": F.col("__facts.a").cast("int"), "slot": F.col("__facts.b") + F.col("__row") - 1})
     )
     return placed.drop("__k1", "__k2", "__size", "__cell", "__row", "__facts")
