@@ -1,11 +1,4 @@
 """Training-data operators: mixing, decontamination, joins, classifiers, search, sharding, formatting.
 
-Nothing outside this folder imports it.  Functions that run on executors are
-shipped by value, so executors need no copy of the package.
+Nothing outside this folder imports it.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

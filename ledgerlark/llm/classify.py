@@ -9,6 +9,7 @@ Scoring is one pass over whole texts without a shuffle.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, shipped
 from .kernels import Hasher, Words, mix, pieces, returned, text_buffers
 
 #: Groups of identity terms; a term is swapped for the others of its group.
@@ -246,11 +247,11 @@ def train(
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with ``out``: the probability of label 1 of every whole text (null as empty)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        model, hasher, found = shared.value, Hasher("alnum"), []
+        model, hasher, found = pickle.loads(shared.value), Hasher("alnum"), []
         data, offsets, _ = text_buffers(text)
         for i, j in pieces(offsets):
             found.append(model.logits(hasher.words(data, offsets[i : j + 1])))

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import saved  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
 
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of an object with its class, for ``pickle.loads`` in a task.
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/ledgerlark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    The caller bounds the object's size.  (A plain broadcast names the class,
+    which executors could not import.)
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ ends with it.  Every letter of every text is parsed.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shipped
 from .kernels import text_buffers
 
 
@@ -173,11 +175,11 @@ def identify(docs: DataFrame, model: Languages, block: int = 512, text_col: str
     those of the second (1 where there is one language).  Ties go to the first
     language by name.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     @F.pandas_udf("struct<lang_pred string, score double>")
     def named(text: pd.Series) -> pd.DataFrame:
-        model = shared.value
+        model = pickle.loads(shared.value)
         counts, _, lettered = model.phrases(pa.array(text, pa.string(), from_pandas=True), block)
         n = len(model.names)
         if not n:

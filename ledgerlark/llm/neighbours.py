@@ -187,10 +187,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, degree: int = 32, build_b
 
     ``is_query`` is a predicate on ``vec_id``.  Ties go to the smaller id;
     fewer rows than ``k`` are all returned.  Null, zero and non-finite vectors
-    take no part; rows of another length than the first query's shard fail.
+    take no part, nor do those of another length than the most frequent one.
     Repeated rows are candidates each, but a query's own id is none.
     """
     rows = valid(vectors, id_col, vector_col)
+    usual = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    rows = rows.filter(F.size("vector") == (usual["length"] if usual else 0))
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     first = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     members = rows.withColumn("place", first).filter(F.col("place") <= k + 1)

@@ -11,6 +11,7 @@ Documents never leave their segment, so no posting is shuffled.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codecs import pack_sorted, planes, unpack_sorted, unplanes
-from .common import saved, text_bytes
+from .common import saved, shipped, text_bytes
 from .kernels import Hasher, pieces, ragged, returned, text_buffers
 
 INDEX = "doc_ids array<long>, words binary, terms binary, counts binary, postings binary"
@@ -198,7 +199,7 @@ class Segment:
 
 def lookup(phrases, within: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = phrases.value
+        p = pickle.loads(phrases.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 s = Segment(batch.slice(i, 1).to_pylist()[0])
@@ -226,7 +227,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, within: int | Non
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         rows = part.collect()
         phrases = Phrases([r["item"] for r in rows], [r["text"] for r in rows], size)
-        found.append(index.mapInArrow(lookup(spark.sparkContext.broadcast(phrases), within), MATCHES))
+        found.append(index.mapInArrow(lookup(shipped(spark, phrases), within), MATCHES))
     if blocks == 1:
         return found[0]
     union = found[0]

@@ -215,7 +215,7 @@ def test_nearest(spark):
 
 
 def test_nearest_small(spark):
-    few = neighbours.nearest(vectors_frame(spark, [(0, [1, 0]), (1, [1, 1]), (2, [1, 1])]), F.col("vec_id") == 0).collect()
+    few = neighbours.nearest(vectors_frame(spark, [(0, [1, 0]), (1, [1, 1]), (2, [1, 1]), (3, [1, 1, 1])]), F.col("vec_id") == 0).collect()
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
     assert neighbours.nearest(vectors_frame(spark, [(0, [1, 0])]), F.col("vec_id") == 0).count() == 0
     assert neighbours.nearest(vectors_frame(spark, [(0, [1, 0])]).limit(0), F.col("vec_id") == 0).count() == 0
