@@ -13,12 +13,13 @@ def plain_amount(c: Column) -> Column:
 
 def sidecar_amount(c: Column) -> Column:
     """Number text of a document record: dots group, a comma is the decimal mark."""
-    return F.replace(F.replace(F.btrim(c), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    digits = F.regexp_replace(c, r"[^\d,.-]", "")
+    return F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def bank_amount(c: Column) -> Column:
     """A bank cell: the last of comma and dot is the decimal mark, the other groups."""
-    t = F.regexp_replace(c.cast("string"), r"[\s€$£]+", "")
+    t = F.regexp_replace(c.cast("string"), "[ \u00a0]+", "")
     comma, dot = F.length(t) - F.locate(",", F.reverse(t)), F.length(t) - F.locate(".", F.reverse(t))
     has_comma, has_dot = F.contains(t, F.lit(",")), F.contains(t, F.lit("."))
     decimal_comma = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
@@ -26,17 +27,21 @@ def bank_amount(c: Column) -> Column:
     return F.when(has_comma & (~has_dot | (comma > dot)), decimal_comma).otherwise(decimal_dot).try_cast("double")
 
 
+def _euro(t: Column) -> Column:
+    return F.replace(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+
+
 def euro_line(c: Column) -> Column:
-    """A line that is nothing but an amount such as ``1.234,56`` or ``-1 234,56 €``."""
+    """A line that is nothing but an amount such as ``1.234,56`` or ``-1 234,56``."""
     t = F.btrim(c)
-    fits = t.rlike(r"^[+-]?\s*\d{1,3}(?:[. ]?\d{3})*,\d{2}\s*(?:€|EUR)?$")
-    return F.when(fits, F.replace(F.regexp_replace(t, r"[^0-9,+-]", ""), F.lit(","), F.lit(".")).try_cast("double"))
+    return F.when(t.rlike(r"^-?\d[\d\s.]*,\d{2}$"), _euro(t))
 
 
 def currency_line(c: Column) -> Column:
-    """struct<amount, currency> of a line such as ``1,234.56 USD``; null elsewhere."""
-    pattern = r"^\s*([+-]?[\d.,]+)\s*([A-Z]{3})\s*$"
-    return F.when(c.rlike(pattern), F.struct(bank_amount(F.regexp_extract(c, pattern, 1)).alias("amount"), F.regexp_extract(c, pattern, 2).alias("currency")))
+    """struct<amount, currency> of a line such as ``1.234,56 USD``, with or without the code; null elsewhere."""
+    pattern = r"^(-?\d[\d\s.]*,\d{2})(?:\s+([A-Z]{3}))?$"
+    t = F.btrim(c)
+    return F.when(t.rlike(pattern), F.struct(_euro(F.regexp_extract(t, pattern, 1)).alias("amount"), F.nullif(F.regexp_extract(t, pattern, 2), F.lit("")).alias("currency")))
 
 
 def amount_line(c: Column) -> Column:
@@ -56,7 +61,7 @@ def within(a: Column, b: Column, tolerance: float) -> Column:
 
 def currency_code(c: Column) -> Column:
     up = F.upper(F.btrim(c))
-    return F.when(up.isin("€", "EURO", "EUROS"), F.lit("EUR")).when(up == "$", F.lit("USD")).when(up == "£", F.lit("GBP")).otherwise(F.nullif(up, F.lit("")))
+    return F.when(up.isin("€", "EURO"), F.lit("EUR")).when(up == "$", F.lit("USD")).when(up == "£", F.lit("GBP")).otherwise(F.nullif(up, F.lit("")))
 
 
 def stamp_duty_pair(amounts: Column, rate: float, most_tax: float) -> Column:

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip_diacritics
+
 
 def iso_date(c: Column) -> Column:
     """The date of ``yyyy-m-d`` text, else null."""
@@ -62,7 +64,7 @@ def month_range(months: list[str]) -> tuple[str, str]:
 
 def partial_date(c: Column, issued: Column) -> Column:
     """``dd/mm`` or ``dd-mm`` in the issue date's year; a December day on a January paper is last year's, and the reverse."""
-    day, month = (F.try_to_number(F.nullif(F.regexp_extract(c, r"(\d{1,2})[/-](\d{1,2})", i), F.lit("")), F.lit("99")).cast("int") for i in (1, 2))
+    day, month = (F.try_to_number(F.nullif(F.regexp_extract(c, r"\b(\d{2})[/-](\d{2})\b", i), F.lit("")), F.lit("99")).cast("int") for i in (1, 2))
     issue = iso_date(issued)
     year = F.year(issue) + F.when((month == 12) & (F.month(issue) == 1), -1).when((month == 1) & (F.month(issue) == 12), 1).otherwise(0)
     return F.date_format(F.try_to_timestamp(F.format_string("%d-%d-%d", year, month, day), F.lit("yyyy-M-d")), "yyyy-MM-dd")
@@ -75,6 +77,11 @@ def business_days_after(c: Column, days: int) -> Column:
     return F.element_at(F.filter(span, lambda d: F.weekday(d) < 5), days)
 
 
+#: Fixed value: month abbreviations of bank texts.
+MONTHS = ("JAN", "FEV", "MAR", "ABR", "MAI", "JUN", "JUL", "AGO", "SET", "OUT", "NOV", "DEZ")
+
+
 def period_tokens(c: Column) -> Column:
-    """Distinct ``month-abbreviation year`` tokens."""
-    return F.array_distinct(F.regexp_extract_all(F.upper(F.coalesce(c, F.lit(""))), F.lit(r"\b((?:JAN|FEV|FEB|MAR|ABR|APR|MAI|MAY|JUN|JUL|AGO|AUG|SET|SEP|OUT|OCT|NOV|DEZ|DEC)[A-Z]*[ /-]*\d{4})\b")))
+    """Distinct ``MON year`` tokens, whatever stands between the two."""
+    plain = F.regexp_replace(F.upper(strip_diacritics(F.coalesce(c, F.lit("")))), "[^A-Z0-9]+", " ")
+    return F.array_distinct(F.regexp_extract_all(plain, F.lit(rf"\b((?:{'|'.join(MONTHS)}) 20\d{{2}})\b")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip_diacritics
+
 
 def tax_number(c: Column, country: str = "PT") -> Column:
     """Letters and digits, nine bare digits with the country's prefix; empty for none."""
@@ -45,9 +47,13 @@ def valid_ibans(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda a: _mod97(digits(a)) == 1))
 
 
-def payment_accounts(lines: Column, marker: str = "(?i)benefici") -> Column:
+#: Fixed value: labels of a payment's receiver.
+BENEFICIARY = r"\b(?:BENEFICIARIO|BENEFICIARY|PAYEE)\b"
+
+
+def payment_accounts(lines: Column, marker: str = BENEFICIARY) -> Column:
     """struct<mentions, beneficiaries>: accounts in any line, and those in a marked line or the one after it."""
-    pair = F.flatten(F.transform(lines, lambda line, i: F.when(line.rlike(marker), F.array(line, F.coalesce(F.get(lines, i + 1), F.lit("")))).otherwise(F.array().cast("array<string>"))))
+    pair = F.flatten(F.transform(lines, lambda line, i: F.when(F.upper(strip_diacritics(line)).rlike(marker), F.array(line, F.coalesce(F.get(lines, i + 1), F.lit("")))).otherwise(F.array().cast("array<string>"))))
     return F.struct(valid_ibans(F.array_join(lines, "\n")).alias("mentions"), valid_ibans(F.array_join(pair, "\n")).alias("beneficiaries"))
 
 

@@ -9,14 +9,14 @@ from .text import UNKNOWN, ascii_fold
 
 
 def component(c: Column) -> Column:
-    """ASCII without characters that file systems refuse, blanks squeezed."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(ascii_fold(c), r'[\\/:*?"<>|]+', " "), r"\s+", " "))
+    """ASCII without characters that file systems refuse, brackets and commas; blanks squeezed."""
+    return F.regexp_replace(F.btrim(F.regexp_replace(ascii_fold(c), r'[\\/*?:"<>|()\[\],]', "")), r"\s+", " ")
 
 
 def trimmed(c: Column, most: int) -> Column:
     """At most so many characters, cut at a word where there is one."""
     cut = F.substring(c, 1, most)
-    whole = F.rtrim(F.regexp_extract(cut, r"(?s)^(.*) ", 1))
+    whole = F.regexp_extract(cut, r"(?s)^(.*) ", 1)
     return F.when(F.length(c) <= most, c).otherwise(F.coalesce(F.nullif(whole, F.lit("")), cut))
 
 
@@ -30,10 +30,14 @@ def money(c: Column, currency: Column) -> Column:
     return F.when(c.isNotNull(), F.concat_ws(" ", text, currency))
 
 
-def file_name(date: Column, kind: Column, party: Column, title: Column, amount: Column, currency: Column, digest: Column, most: int = 60) -> Column:
-    """``date - type - party - title - amount - hash``, lower-case, unknown parts left out."""
-    known = lambda c: F.nullif(F.nullif(trimmed(component(c), most), F.lit("")), F.lit(UNKNOWN))
-    return F.lower(F.concat_ws(" - ", known(date), known(kind), known(party), known(title), money(amount, currency), digest))
+def file_name(date: Column, kind: Column, party: Column, title: Column, amount: Column, currency: Column, digest: Column, most: int = 60, extension: Column | None = None) -> Column:
+    """``date - type - party - title - amount - hash.ext``, lower-case; a missing title or amount is left out.
+
+    The three first are always there, be it as the unknown marker.
+    """
+    first = [component(F.coalesce(c, F.lit(UNKNOWN))) for c in (date, kind, party)]
+    name = F.when(F.coalesce(title, F.lit("")) != "", trimmed(component(title), most))
+    return F.lower(F.concat_ws(" - ", *first, name, component(money(amount, currency)), F.concat(digest, F.lit(".pdf") if extension is None else extension)))
 
 
 def from_fields(fields: list[Column], digest: Column, most: int = 60) -> Column:

@@ -102,7 +102,7 @@ def json_digest(c: Column) -> Column:
 
 
 #: Legal forms at the end of a company name.
-LEGAL_SUFFIXES = ("inc", "llc", "ltd", "limited", "corp", "corporation", "company", "co", "gmbh", "sa", "lda", "pbc")
+LEGAL_SUFFIXES = ("inc", "incorporated", "ltd", "limited", "llc", "llp", "plc", "corp", "corporation", "company", "co", "sa", "lda", "pbc")
 
 
 def company_key(c: Column, suffixes: tuple[str, ...] = LEGAL_SUFFIXES) -> Column:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.dates import iso_date
 from ..functions.text import UNKNOWN
 
+#: Fields of the unknown report, critical fields, and confidence bucket edges.
 FIELDS = ("document_type", "issuing_party", "date_issued")
+CRITICAL = ("hash_content", "hash_file", "hash_text", "date_issued", "document_type", "issuing_party", "document_title", "class_confidence", "page_count", "file_size_kb")
+BUCKETS = (0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01)
 
 
 def unknown_counts(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -25,7 +28,7 @@ def cross_top(docs: DataFrame, where: Column, by: str, most: int = 10) -> DataFr
     return docs.filter(where).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col(by).asc_nulls_last()).limit(most)
 
 
-def confidence_histogram(docs: DataFrame, column: str = "class_confidence", edges: tuple[float, ...] = (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.01)) -> DataFrame:
+def confidence_histogram(docs: DataFrame, column: str = "class_confidence", edges: tuple[float, ...] = BUCKETS) -> DataFrame:
     """Counts in half-open buckets [low, high)."""
     pairs = list(zip(edges[:-1], edges[1:], strict=True))
     counted = docs.agg(*[F.count_if((F.col(column) >= a) & (F.col(column) < b)).alias(f"b{i}") for i, (a, b) in enumerate(pairs)])
@@ -37,7 +40,7 @@ def lowest_confidence(docs: DataFrame, column: str = "class_confidence", key: st
     return docs.filter(F.col(column) < below).orderBy(column, key).limit(most).select(key, column)
 
 
-def missing_counts(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+def missing_counts(docs: DataFrame, fields: tuple[str, ...] = CRITICAL) -> DataFrame:
     """Fields that are null in some records, with how many."""
     return docs.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in fields]).unpivot([], list(fields), "field", "n").filter("n > 0")
 
@@ -45,7 +48,7 @@ def missing_counts(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 def distribution(docs: DataFrame, field: str, most: int = 25) -> DataFrame:
     """Most frequent values with their percentage of all records; ties by value."""
     total = docs.agg(F.count("*").alias("total"))
-    top = docs.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most)
+    top = docs.filter(F.col(field) != "").groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most)
     return top.crossJoin(F.broadcast(total)).select("value", "n", F.round(F.col("n") * 100 / F.col("total"), 1).alias("percent"))  # one row
 
 

@@ -253,7 +253,7 @@ def audit_cross_top(spark, sf_dir):
     return audit.cross_top(records(spark, sf_dir), F.col("issuing_party") == text.UNKNOWN, "document_type")
 
 
-@query("""SELECT low, high, count(path) AS n FROM (VALUES (0.0::DOUBLE, 0.3::DOUBLE), (0.3, 0.5), (0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 0.95), (0.95, 1.01)) b(low, high)
+@query("""SELECT low, high, count(path) AS n FROM (VALUES (0.0::DOUBLE, 0.5::DOUBLE), (0.5, 0.6), (0.6, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 1.01)) b(low, high)
 LEFT JOIN v_doc ON class_confidence >= low AND class_confidence < high GROUP BY 1, 2""")
 def audit_confidence_hist(spark, sf_dir):
     return audit.confidence_histogram(records(spark, sf_dir))
@@ -541,12 +541,12 @@ def text_keys(spark, sf_dir):
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date_issued, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice' ELSE 'receipt' END AS document_type, o_custkey::VARCHAR AS issuer_tax_number, CASE WHEN o_totalprice > 0 THEN o_totalprice END AS total_amount, 'EUR' AS currency FROM orders""")
 def qr_parse(spark, sf_dir):
     kind = F.when(F.col("o_orderkey") % 2 == 0, "FT").otherwise("RC")
-    code = F.concat(F.lit("A:0*A:"), F.col("o_custkey").cast("string"), F.lit("*C:PT*D:"), kind, F.lit("*F:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("*B:x*G:n/1*O:"), F.col("o_totalprice").cast("string"))
+    code = F.concat(F.lit("A:0*A:"), F.col("o_custkey").cast("string"), F.lit("*C:PT*D:"), kind, F.lit("*F:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("*B:x*G:n/1*H:h*O:"), F.col("o_totalprice").cast("string"))
     m = qr.qr_metadata(code)
     return table(spark, sf_dir, "orders").select("o_orderkey", m["date_issued"].alias("date_issued"), m["document_type"].alias("document_type"), m["issuer_tax_number"].alias("issuer_tax_number"), m["total_amount"].alias("total_amount"), m["total_amount_currency"].alias("currency"))
 
 
-@query("SELECT page_id, CASE WHEN url ILIKE 'http://%' OR url ILIKE 'https://%' THEN 'url' WHEN trim(url) <> '' THEN 'other' END AS kind FROM pages")
+@query("SELECT page_id, CASE WHEN url ILIKE 'http://%' OR url ILIKE 'https://%' OR url ILIKE 'www.%' THEN 'url' ELSE 'unknown' END AS kind FROM pages")
 def qr_kind(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", qr.qr_type(F.col("url")).alias("kind"))
 
@@ -567,7 +567,7 @@ def company_slug(spark, sf_dir):
 def number_text(spark, sf_dir):
     plain = F.format_number("p_retailprice", 2)
     euro = F.translate(plain, ",.", ".,")
-    return table(spark, sf_dir, "part").select("p_partkey", amounts.bank_amount(plain).alias("dotted"), amounts.bank_amount(euro).alias("comma"), amounts.euro_line(F.concat(euro, F.lit(" EUR"))).alias("line"))
+    return table(spark, sf_dir, "part").select("p_partkey", amounts.bank_amount(plain).alias("dotted"), amounts.bank_amount(euro).alias("comma"), amounts.amount_line(F.concat(euro, F.lit(" EUR"))).alias("line"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m') AS month, datediff('day', o_orderdate::DATE, DATE '1997-01-01')::BIGINT AS days,
@@ -577,7 +577,7 @@ def date_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("iso"), dates.calendar_month(day).alias("month"), dates.signed_days(day, F.lit("1997-01-01")).cast("long").alias("days"), dates.business_days_after(day, 2).alias("settled"))
 
 
-@query("""SELECT path, lower(concat_ws(' - ', CASE WHEN date_issued <> '$UNKNOWN$' THEN date_issued END, CASE WHEN document_type <> '$UNKNOWN$' THEN document_type END, CASE WHEN issuing_party <> '$UNKNOWN$' THEN issuing_party END, substr(md5(path::VARCHAR), 1, 8))) AS name FROM v_doc """)
+@query("""SELECT path, lower(concat_ws(' - ', date_issued, document_type, coalesce(issuing_party, '$UNKNOWN$'), substr(md5(path::VARCHAR), 1, 8) || '.pdf')) AS name FROM v_doc """)
 def file_names(spark, sf_dir):
     none = F.lit(None).cast("string")
     r = records(spark, sf_dir)
@@ -650,7 +650,7 @@ def move_plan(spark, sf_dir):
   CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS class_confidence FROM orders""")
 def classify_documents(spark, sf_dir):
     none, key = F.lit(None).cast("string"), F.col("o_orderkey")
-    code = F.when(key % 2 == 0, F.concat(F.lit("A:1*B:2*D:FT*F:"), F.date_format("o_orderdate", "yyyyMMdd")))
+    code = F.when(key % 2 == 0, F.concat(F.lit("A:1*B:2*H:x*D:FT*F:"), F.date_format("o_orderdate", "yyyyMMdd")))
     raw = F.when((key % 2 == 1) & (key % 3 == 0), "vat paper")
     given = F.struct(F.lit("2000-01-01").alias("date_issued"), none.alias("document_type"), none.alias("issuer_tax_number"), none.cast("double").alias("total_amount"), none.alias("total_amount_currency"), none.alias("issuing_party"), raw.alias("document_type_raw"), none.alias("document_title"), F.lit(0.5).alias("class_confidence"))
     d = table(spark, sf_dir, "orders").select(key, code.alias("qr_text"), given.alias("extracted"))

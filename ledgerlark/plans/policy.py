@@ -58,6 +58,8 @@ RULES = (
 
 @dataclass(frozen=True)
 class Policy:
+    """The defaults are those of the bundled policy."""
+
     tolerance: float = 0.01
     window_days: int = 30
     country_prefix: str = "PT"

@@ -36,7 +36,7 @@ class Format:
     account_pattern: str
     period: tuple[tuple[int, int], tuple[int, int]] | None = None
     currency: str = "EUR"
-    untreated: tuple[str, ...] = field(default=("", "nao", "não", "no", "n"))
+    untreated: tuple[str, ...] = field(default=("nao", "não", ""))
 
 
 #: Layouts of two banks' workbooks.
@@ -45,7 +45,7 @@ FORMATS = (
         "A",
         8,
         9,
-        ("data lancamento", "data valor", "descricao", "montante"),
+        ("data lancamento", "descricao", "montante"),
         {"date_posting": 1, "date_value": 2, "description": 3, "amount": 4, "row_currency": 5, "notes": 6, "treated": 7},
         (2, 3),
         r"^(?P<account>.+?)\s*-\s*(?P<currency>[A-Z]{3})$",
@@ -55,10 +55,10 @@ FORMATS = (
         "B",
         18,
         19,
-        ("data mov", "data valor", "descricao", "valor"),
+        ("data mov", "descricao do movimento", "valor em eur"),
         {"date_posting": 1, "date_value": 2, "description": 3, "amount": 4},
         (7, 3),
-        r"^(?P<account>.+?)\s*\((?P<currency>[A-Z]{3})\)$",
+        r"(?P<account>[\d\-.]+)\s*\((?P<currency>\w+)\)",
     ),
 )
 
@@ -120,7 +120,7 @@ def statement_rows(path: str, content: bytes, formats: tuple[Format, ...], stric
         if strict:
             raise ValueError(f"no known statement format: {path}")
         return []
-    m = re.match(f.account_pattern, (found.get(f.account) or "").strip())
+    m = re.search(f.account_pattern, (found.get(f.account) or "").strip())
     account, currency = (m["account"], m["currency"]) if m else (None, f.currency)
     start, end = (day(found.get(p)) for p in f.period) if f.period else (None, None)
     out = []

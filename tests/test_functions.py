@@ -14,14 +14,14 @@ def column(spark, values, kind, f):
 
 
 def test_bank_amounts(spark):
-    got = column(spark, ["-4.932,62", "5.000,00", "-11,06", "17.99", "1,234.5", "", None, "x", "1 234,5 €"], "string", amounts.bank_amount)
-    assert got == [-4932.62, 5000.0, -11.06, 17.99, 1234.5, None, None, None, 1234.5]
+    got = column(spark, ["-4.932,62", "5.000,00", "-11,06", "17.99", "1,234.5", "", None, "x", "1 234,5", "1,5 €"], "string", amounts.bank_amount)
+    assert got == [-4932.62, 5000.0, -11.06, 17.99, 1234.5, None, None, None, 1234.5, None]
 
 
 def test_three_parsers_differ(spark):
     assert column(spark, ["12.34", "1.234,5"], "string", amounts.sidecar_amount) == [1234.0, 1234.5]
-    assert column(spark, ["12,34", "1.234,56 EUR", "- 5,00", "12.34", "12,3"], "string", amounts.euro_line) == [12.34, 1234.56, -5.0, None, None]
-    assert column(spark, ["1,234.56 USD", "5 EUR"], "string", lambda c: amounts.currency_line(c)["amount"]) == [1234.56, 5.0]
+    assert column(spark, ["12,34", "1.234,56", "-1 5,00", "12.34", "12,3"], "string", amounts.euro_line) == [12.34, 1234.56, -15.0, None, None]
+    assert column(spark, ["1.234,56 USD", "5 EUR", "2,00"], "string", lambda c: amounts.currency_line(c)["amount"]) == [1234.56, None, 2.0]
 
 
 def test_key_amount(spark):
@@ -76,13 +76,13 @@ def test_qr(spark):
     got = column(spark, [code, "https://x", None, "A:1"], "string", qr.qr_metadata)
     assert (got[0].date_issued, got[0].document_type, got[0].total_amount, got[0].total_amount_currency) == ("2026-01-31", "invoice", 12.5, "EUR")
     assert got[1:] == [None, None, None]
-    assert column(spark, [code, "https://x", "?", ""], "string", qr.qr_type) == ["invoice", "url", "other", None]
+    assert column(spark, [code, "https://x", "?", ""], "string", qr.qr_type) == ["portuguese_invoice", "url", "unknown", "unknown"]
 
 
 def test_names(spark):
     frame = spark.createDataFrame([("2026-01-31", "invoice", "Ácme: Co", None, 12.5, "EUR", "0a1b2c3d")], "d string, k string, p string, t string, a double, c string, h string")
     name = naming.file_name(*[F.col(x) for x in "dkptach"])
-    assert frame.select(name).first()[0] == "2026-01-31 - invoice - acme co - 12.50 eur - 0a1b2c3d"
+    assert frame.select(name).first()[0] == "2026-01-31 - invoice - acme co - 12.50 eur - 0a1b2c3d.pdf"
     long = "2026 - invoice - " + "p" * 40 + " - drop - " + "t" * 10 + ".pdf"
     names = [long, "a - b.pdf", "a - " + "b" * 60 + ".pdf", long.replace(".pdf", ".txt")]
     got = column(spark, names, "string", lambda c: naming.fitted(c, 50))

@@ -50,7 +50,7 @@ def sheet(rows):
 def test_statements(spark, tmp_path):
     head = {1: "Data lançamento", 2: "Data valor", 3: "Descrição", 4: "Montante", 5: "Moeda", 6: "Notas", 7: "Tratado"}
     put(tmp_path, "a.xlsx", sheet({2: {3: "123 - EUR"}, 3: {3: "01/01/2026"}, 4: {3: "31/01/2026"}, 8: head, 9: {1: "05/01/2026", 2: "06/01/2026", 3: "x", 4: "-4.932,62", 7: "Não"}, 10: {1: "05/01/2026", 3: "done", 4: "1,00", 7: "Sim"}, 11: {1: "07-01-2026", 3: "y", 4: "5"}}))
-    head = {1: "Data Mov.", 2: "Data Valor", 3: "Descrição", 4: "Valor"}
+    head = {1: "Data Mov.", 2: "Data Valor", 3: "Descrição do Movimento", 4: "Valor em EUR"}
     put(tmp_path, "b.xlsx", sheet({7: {3: "987 (EUR)"}, 18: head, 19: {1: "10/02/2026", 2: "10/02/2026", 3: "z", 4: "17.99"}, 20: {1: "12/02/2026", 3: "w", 4: "1"}}))
     put(tmp_path, "c.xlsx", b"not a workbook")
     rows = statements.read_rows(spark, str(tmp_path))
@@ -168,7 +168,7 @@ def test_sync_and_classification(spark):
     from ledgerlark.functions.qr import is_invoice_qr
     from ledgerlark.operators import sync
 
-    texts = spark.createDataFrame([(["A:1*B:2*F:20260101", "A:1*B:2*F:20260102", "x"],), (["A:1*B:2"],)], "t array<string>")
+    texts = spark.createDataFrame([(["A:1*H:2*F:20260101", "A:1*H:2*F:20260102", "x"],), (["A:1*H:2"],)], "t array<string>")
     got = [r[0] for r in texts.select(sync.sub_documents(F.col("t"))).collect()]
     assert [p.date_issued for p in got[0]] == ["2026-01-01", "2026-01-02"] and got[1] is None
     assert texts.select(is_invoice_qr(F.col("t")[0])).first()[0]
