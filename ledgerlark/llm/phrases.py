@@ -104,7 +104,8 @@ class Segment:
         run = np.cumsum(step)
         base = run[self.first] - step[self.first] if len(self.first) else run[:0]
         self.positions = run - np.repeat(base, self.counts)
-        self.keys = (np.repeat(np.arange(len(self.terms)), self.counts) << 40) | self.positions
+        self.shift = int(self.upto[-1]).bit_length()
+        self.keys = (np.repeat(np.arange(len(self.terms)), self.counts) << self.shift) | self.positions
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """Number of each term here, or -1."""
@@ -114,9 +115,10 @@ class Segment:
         return np.where(ok, at, -1)
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
-        want = (term << 40) | np.maximum(position, 0)
+        inside = (position >= 0) & (position < self.upto[-1])
+        want = (term << self.shift) | np.where(inside, position, 0)
         at = np.minimum(np.searchsorted(self.keys, want), max(0, len(self.keys) - 1))
-        return (position >= 0) & (self.keys[at] == want) if len(self.keys) else np.zeros(len(want), bool)
+        return inside & (self.keys[at] == want) if len(self.keys) else np.zeros(len(want), bool)
 
     def doc(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.upto, position, "right") - 1
