@@ -534,8 +534,8 @@ def approval_upsert(spark, sf_dir):
 
 @query(r"""SELECT doc_id, regexp_replace(lower(strip_accents(left(text, 200))), '[^\p{L}\p{N}]+', '', 'g') AS compact, trim(regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
 def text_keys(spark, sf_dir):
-    head = F.substring("text", 1, 200)
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), text.compact_key(head)).alias("compact"), F.when(F.col("text").isNotNull(), text.slug(head)).alias("slug"))
+    whole = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(whole.isNotNull(), text.compact_key(whole)).alias("compact"), F.when(whole.isNotNull(), text.slug(whole)).alias("slug"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date_issued, CASE WHEN o_orderkey % 2 = 0 THEN 'invoice' ELSE 'receipt' END AS document_type, o_custkey::VARCHAR AS issuer_tax_number, CASE WHEN o_totalprice > 0 THEN o_totalprice END AS total_amount, 'EUR' AS currency FROM orders""")
