@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_key
 from ..functions.naming import fitted
 from ..functions.text import UNKNOWN, glob_matches
+from ..scratch import saved
 from .bands import first_by
 from .dedup import table_digest
 
@@ -71,10 +72,21 @@ def renames(docs: DataFrame, name: Column) -> DataFrame:
 
 
 def merge_manifest(files: DataFrame) -> DataFrame:
-    """Which files make each merged paper: all, and those of each leading prefix."""
+    """Which files make each merged paper: all, and those of each leading prefix.
+
+    One row a file: merged, position (by name, gapless from 0) and file_name.
+    Names are dealt out by ranges and numbered inside them, so no group is collected.
+    """
     prefix = F.lower(F.nullif(F.regexp_extract("file_name", r"^([A-Za-z0-9]+)_", 1), F.lit("")))
-    both = files.select(F.explode(F.array_compact(F.array(F.lit("all"), prefix))).alias("merged"), "file_name")
-    return both.groupBy("merged").agg(F.sort_array(F.collect_list("file_name")).alias("files"))
+    both = files.filter("file_name IS NOT NULL").select(F.explode(F.array_compact(F.array(F.lit("all"), prefix))).alias("merged"), "file_name")
+    names = both.groupBy("merged", "file_name").agg(F.count("*").alias("n"))
+    names = saved(names.repartitionByRange("merged", "file_name").withColumn("part", F.spark_partition_id()), "manifest")
+    earlier = Window.partitionBy("merged").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = names.groupBy("merged", "part").agg(F.sum("n").alias("n")).select("merged", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("merged", "part").orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    placed = names.join(parts, ["merged", "part"]).withColumn("first", first)
+    return placed.select("merged", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("position"), "file_name")
 
 
 def archived(docs: DataFrame, digests: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -220,7 +220,7 @@ def month_window(spark, sf_dir):
 @query(r"""SELECT lower(prefix) AS merged, list_sort(list(file_name)) AS files FROM (
   SELECT file_name, unnest(['all', regexp_extract(file_name, '^([A-Za-z0-9]+)_', 1)]) AS prefix FROM v_cand WHERE total_amount > 480) GROUP BY 1""")
 def merge_manifest(spark, sf_dir):
-    return exports.merge_manifest(cands(spark, sf_dir).filter("total_amount > 480"))
+    return exports.merge_manifest(cands(spark, sf_dir))
 
 
 @query("""SELECT candidate_id FROM v_cand WHERE candidate_id NOT IN (
