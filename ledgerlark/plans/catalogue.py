@@ -665,8 +665,8 @@ def archive_by_hash(spark, sf_dir):
 
 @query("SELECT substr(sha256(string_agg(path::VARCHAR || ':' || hash_content, chr(10) ORDER BY path::VARCHAR || ':' || hash_content)), 1, 16) AS digest FROM v_file WHERE path < 50 AND hash_content IS NOT NULL")
 def directory_digest(spark, sf_dir):
-    f = files(spark, sf_dir).filter("path < 50 AND hash_content IS NOT NULL").withColumn("path", F.col("path").cast("string"))
-    return dedup.table_digest(f, "path", "hash_content")
+    f = files(spark, sf_dir).filter("hash_content IS NOT NULL").withColumn("path", F.col("path").cast("string"))
+    return dedup.bucketed_digest(f, "path", "hash_content")
 
 
 @query("SELECT file_name, length(file_name) AS name_length FROM v_cand WHERE length(file_name) > 11")
