@@ -595,7 +595,7 @@ def issuer_normalized(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, sum(l_extendedprice) OVER w AS near FROM lineitem WHERE l_orderkey <= 2000 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def page_window_amounts(spark, sf_dir):
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    page = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    page = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
     text_lines = F.transform("l", lambda x: F.translate(F.format_number(x["l_extendedprice"], 2), ",.", ".,"))
     page = page.withColumn("lines", text_lines).select("l_orderkey", "lines", F.posexplode("l").alias("i", "x"))
     near = F.aggregate(lineitems.amounts_near(F.col("lines"), F.col("i"), 1, 1), F.lit(0.0), lambda a, v: a + v)
