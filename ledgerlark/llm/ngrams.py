@@ -30,7 +30,7 @@ from .kernels import Hasher, mix, pieces, returned, text_buffers, window_starts
 
 DIMS = 64
 LEAF = 32
-SETS = "doc_id long, n_shingles long, sig_a long, sig_b long"
+SETS = "doc_id long, named boolean, n_shingles long, sig_a long, sig_b long"
 KEYS = "range int, keys binary, doc binary, ids binary"
 POINTS = "cluster long, doc_id long, shingles binary"
 
@@ -74,7 +74,8 @@ def set_batches(size: int):
             for i, j in pieces(offsets):
                 s = Shingles(hasher, data, offsets[i : j + 1], size)
                 cols = [s.counts(), s.sums(0x1B873593).view(np.int64), s.sums(0xCC9E2D51).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i)] + [pa.array(c, pa.int64()) for c in cols], names=["doc_id", "n_shingles", "sig_a", "sig_b"])
+                kept = [batch.column(c).slice(i, j - i) for c in ("doc_id", "named")]
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(c, pa.int64()) for c in cols], names=["doc_id", "named", "n_shingles", "sig_a", "sig_b"])
         returned()
 
     return run
@@ -142,7 +143,7 @@ def key_batches(size: int, levels: Levels, range_bits: int):
         hasher = Hasher("lower")
         for batch in batches:
             data, offsets, _ = text_buffers(batch.column("text"))
-            ids = np.asarray(batch.column("doc_id").fill_null(-(1 << 63)))
+            ids = np.asarray(batch.column("doc_id"))
             keys, docs, seen = [], [], {}
             for i, j in pieces(offsets):
                 s = Shingles(hasher, data, offsets[i : j + 1], size)
@@ -365,20 +366,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     shingles of ``size`` words, or the whole of a shorter text.  Documents whose
     sets have a Jaccard similarity of ``threshold`` (as a fraction) or more are
     linked; a component is named by its least doc_id.  A document without words
-    has an empty set and no links; rows of one doc_id are one node.  For large
-    clusters see :func:`cluster_links`.
+    has an empty set and no links; rows of one doc_id are one node.  A row without
+    a doc_id is linked by its text like any other (its node is a hash of the text);
+    a component of only such rows has a null component_id.  For large clusters see
+    :func:`cluster_links`.
     """
     t = Fraction(*threshold)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(given, F.xxhash64(F.lit("no id"), F.col(text_col))).alias("doc_id"), given.isNotNull().alias("named"), F.col(text_col).alias("text"))
     sets = saved(rows.mapInArrow(set_batches(size), SETS), "shingle-sets")
-    most = sets.agg(F.coalesce(F.max("n_shingles"), F.lit(1))).first()[0]
+    most, unnamed = sets.agg(F.coalesce(F.max("n_shingles"), F.lit(1)), F.count_if(~F.col("named"))).first()
     same = sets.filter("n_shingles > 0").groupBy("n_shingles", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
-    sets = sets.join(same, ["n_shingles", "sig_a", "sig_b"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    sets = sets.join(same, ["n_shingles", "sig_a", "sig_b"], "left").select("doc_id", "named", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     sets = saved(sets, "shingle-classes")
     rep_of = sets.groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     range_bits = max(0, min(20, (text_bytes(rows) // range_bytes).bit_length()))
-    edges = rows.mapInArrow(key_batches(size, Levels(t, int(most)), range_bits), KEYS).groupBy("range").applyInArrow(stars, "a long, b long").distinct()
+    edges = rows.select("doc_id", "text").mapInArrow(key_batches(size, Levels(t, int(most)), range_bits), KEYS).groupBy("range").applyInArrow(stars, "a long, b long").distinct()
     edges = saved(edges, "shared-groups")
     for end in ("a", "b"):
         edges = edges.join(rep_of.select(F.col("doc_id").alias(end), F.col("rep").alias(f"rep_{end}")), end)
@@ -390,5 +394,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     links = cluster_links(points, t, block_members)
     found = components(links)
     named = sets.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out
+    out = named.select("doc_id", "named", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    if not unnamed:
+        return out.drop("named")
+    least = out.filter("named").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return out.join(least, "component_id", "left").select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
