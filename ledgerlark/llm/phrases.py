@@ -24,7 +24,7 @@ from .common import saved, shipped, text_bytes
 from .kernels import Hasher, pieces, ragged, returned, text_buffers
 
 INDEX = "doc_ids array<long>, words binary, terms binary, counts binary, postings binary"
-MATCHES = "doc_id long, n_words long, n_hit long, hits array<struct<item: string, start: long, end: long>>"
+MATCHES = "segment long, place long, doc_id long, n_words long, n_hit long, hits array<struct<item: string, start: long, end: long>>"
 HITS = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, segment_bytes: int = 8 << 20, id_col: str = "do
     Words: runs of digits, a-z (A-Z lower-cased) and non-ASCII characters.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return saved(rows.mapInArrow(index_batches(segment_bytes), INDEX), "phrase-index")
+    return saved(rows.mapInArrow(index_batches(segment_bytes), INDEX).withColumn("segment", F.monotonically_increasing_id()), "phrase-index")
 
 
 class Phrases:
@@ -94,6 +94,7 @@ class Segment:
     """A segment's postings, ready for lookups."""
 
     def __init__(self, row: dict):
+        self.number = row["segment"]
         self.ids = row["doc_ids"]
         self.words = unplanes(row["words"]).astype(np.int64)
         self.upto = np.concatenate([[0], np.cumsum(self.words)])
@@ -196,7 +197,9 @@ class Segment:
         values = pa.StructArray.from_arrays([items, pa.array(at[first] - base, pa.int64()), pa.array(end[last] - base, pa.int64())], names=["item", "start", "end"])
         hits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
         n_hit = np.diff(covered[self.upto])
-        return pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), pa.array(self.words, pa.int64()), pa.array(n_hit, pa.int64()), hits.cast(HITS)], names=["doc_id", "n_words", "n_hit", "hits"])
+        n = len(self.words)
+        longs = [pa.array(c, pa.int64()) for c in (np.full(n, self.number), np.arange(n), self.ids, self.words, n_hit)]
+        return pa.RecordBatch.from_arrays(longs + [hits.cast(HITS)], names=["segment", "place", "doc_id", "n_words", "n_hit", "hits"])
 
 
 def lookup(phrases, within: int | None):
@@ -219,7 +222,8 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, within: int | Non
     a whole shorter item; a null or empty item has none.  With ``within``, a hit
     is instead a place where all words of such a window lie within so many words
     of its rarest one.  Items reach the executors in blocks of at most
-    ``block_bytes``; with several blocks the rows of a document are merged.
+    ``block_bytes``; with several blocks the rows of a document (its segment and
+    place there, since a doc_id may be null or repeat) are merged.
     """
     spark = index.sparkSession
     items = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
@@ -231,12 +235,12 @@ def search(index: DataFrame, items: DataFrame, size: int = 10, within: int | Non
         phrases = Phrases([r["item"] for r in rows], [r["text"] for r in rows], size)
         found.append(index.mapInArrow(lookup(shipped(spark, phrases), within), MATCHES))
     if blocks == 1:
-        return found[0]
+        return found[0].drop("segment", "place")
     union = found[0]
     for f in found[1:]:
         union = union.unionByName(f)
     hits = F.array_sort(F.flatten(F.collect_list("hits")))
-    merged = union.groupBy("doc_id", "n_words").agg(hits.alias("hits"))
+    merged = union.groupBy("segment", "place", "doc_id", "n_words").agg(hits.alias("hits"))
     covered = F.aggregate(
         F.array_sort(F.transform("hits", lambda h: F.struct(h["start"].alias("s"), h["end"].alias("e")))),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),

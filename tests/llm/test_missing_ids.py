@@ -1,8 +1,8 @@
 """Rows without an id, and ids that repeat."""
 
-from ledgerlark.llm import ngrams
+from ledgerlark.llm import ngrams, phrases
 
-from test_text_operators import frame, words
+from test_text_operators import brute_phrases, frame, words
 
 
 def test_jaccard_links_rows_without_an_id(spark):
@@ -13,3 +13,12 @@ def test_jaccard_links_rows_without_an_id(spark):
     got = ngrams.jaccard_components(frame(spark, rows).coalesce(1), size=3, threshold=(9, 10)).collect()
     want = [(None, 5), (5, 5), (7, 5), (None, 5), (None, None), (None, None), (9, 9), (-3, -3), (None, None)]
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_phrase_blocks_keep_every_row(spark):
+    items = [(k, " ".join(words(50 + k, 12))) for k in range(6)]
+    rows = [(None, items[0][1]), (None, items[1][1]), (None, " ".join(words(70, 12))), (4, items[2][1]), (4, items[2][1]), (4, items[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (1 << 25, 100):
+        got = phrases.decontaminate(frame(spark, rows), bench, segment_bytes=200, block_bytes=block_bytes).collect()
+        assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got], key=str) == brute_phrases(rows, items)
