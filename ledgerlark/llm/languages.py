@@ -43,10 +43,23 @@ def letters_of(code_points: np.ndarray, rows: np.ndarray, table: np.ndarray) ->
     return folded[keep], rows[keep]
 
 
-def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings; -1 where there is none."""
+def suffix_automaton(symbols: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions of the automaton of all substrings.
+
+    Those of symbols below ``alphabet`` as [state, symbol], -1 where there is
+    none; the others as sorted keys (state << 32 | symbol) and their states.
+    """
     n = len(symbols)
     go = np.full((max(2, 2 * n), alphabet), -1, np.int32)
+    rare: dict[int, dict[int, int]] = {}
+    get = lambda p, c: int(go[p, c]) if c < alphabet else rare.get(p, {}).get(c, -1)
+
+    def put(p: int, c: int, to: int) -> None:
+        if c < alphabet:
+            go[p, c] = to
+        else:
+            rare.setdefault(p, {})[c] = to
+
     link, length = [-1], [0]
     last = 0
     for c in symbols.tolist():
@@ -54,11 +67,11 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
         link.append(0)
         length.append(length[last] + 1)
         p = last
-        while p >= 0 and go[p, c] < 0:
-            go[p, c] = cur
+        while p >= 0 and get(p, c) < 0:
+            put(p, c, cur)
             p = link[p]
         if p >= 0:
-            q = int(go[p, c])
+            q = get(p, c)
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
@@ -66,12 +79,15 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                 link.append(link[q])
                 length.append(length[p] + 1)
                 go[copy] = go[q]
-                while p >= 0 and go[p, c] == q:
-                    go[p, c] = copy
+                if q in rare:
+                    rare[copy] = dict(rare[q])
+                while p >= 0 and get(p, c) == q:
+                    put(p, c, copy)
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    return go[: len(link)].copy()
+    sparse = sorted((p << 32 | c, to) for p, of in rare.items() for c, to in of.items())
+    return go[: len(link)].copy(), np.array([k for k, _ in sparse], np.int64), np.array([t for _, t in sparse], np.int32)
 
 
 @dataclass
@@ -79,6 +95,7 @@ class Languages:
     names: list[str]
     symbol: dict[int, int]  # letter -> symbol; 0 is any other
     tables: list[np.ndarray]  # transitions [state, symbol] by language, flattened; state 0 is the start
+    sparse: list[tuple[np.ndarray, np.ndarray]]  # keys and states of the transitions of symbols from ``alphabet`` on
     alphabet: int
     letters: np.ndarray
 
@@ -86,7 +103,7 @@ class Languages:
         """(phrases [row, language], letters parsed, has a letter) of each text."""
         n = len(texts)
         counts, sizes, lettered = np.zeros((n, len(self.names))), np.zeros(n), np.zeros(n, bool)
-        to_symbol = np.zeros(0x110000, np.uint8)
+        to_symbol = np.zeros(0x110000, np.uint32)
         for c, s in self.symbol.items():
             to_symbol[c] = s
         data, offsets, _ = text_buffers(texts)
@@ -104,6 +121,20 @@ class Languages:
             i = j
         return counts, sizes, lettered
 
+    def _step(self, k: int, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where symbols lead in language ``k``, or -1."""
+        table, (keys, states) = self.tables[k], self.sparse[k]
+        if len(self.symbol) < self.alphabet:
+            return table[state * self.alphabet + c]
+        common = c < self.alphabet
+        to = table[state * self.alphabet + np.where(common, c, 0)]
+        i = np.flatnonzero(~common)
+        if len(i) and len(keys):
+            want = (state[i].astype(np.int64) << 32) | c[i].astype(np.int64)
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            to[i] = np.where(keys[at] == want, states[at], -1)
+        return to
+
     def _parse(self, symbols: np.ndarray, rows: np.ndarray, block: int, counts: np.ndarray) -> None:
         if not len(symbols):
             return
@@ -116,17 +147,17 @@ class Languages:
         start, left = start[order], (stop - start)[order]
         of_row = rows[start]
         active = np.searchsorted(-left, -np.arange(block), "left")  # blocks longer than each step
-        for k, table in enumerate(self.tables):
+        for k in range(len(self.tables)):
             state, phrases = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
             for step in range(int(left[0])):
                 m = active[step]
                 c = symbols[start[:m] + step]
-                to = table[state[:m] * self.alphabet + c]
+                to = self._step(k, state[:m], c)
                 ended = to < 0
                 # a phrase starts with this letter: at the start, after a letter that the
                 # language lacks (a phrase of its own), or where the last one cannot go on
                 phrases[:m] += ended | (state[:m] == 0)
-                state[:m] = np.maximum(np.where(ended, table[c], to), 0)
+                state[:m] = np.maximum(np.where(ended, self._step(k, np.zeros(m, np.int32), c), to), 0)
             np.add.at(counts[:, k], of_row, phrases)
 
 
@@ -135,36 +166,45 @@ def train(docs: DataFrame, learn: Column, letters_per_language: int = 20_000, mo
 
     A language is learnt from its rows of least xxhash64(doc_id), up to
     ``letters_per_language`` letters, or fewer so that all languages together
-    stay within ``most_letters``.
+    stay within ``most_letters``.  Every letter of the sample is a symbol; the
+    255 most frequent ones have dense transitions, the others sparse ones.
     """
     known = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    totals = known.groupBy(lang_col).agg(F.count("*").alias("n"), F.sum(F.length(text_col)).alias("chars")).orderBy(lang_col).collect()
-    budget = max(200, min(letters_per_language, most_letters // max(1, len(totals))))
-    bound = F.lit((1 << 63) - 1)
-    for r in totals:  # about four times the letters needed, as a share of the hash range
-        share = min(1.0, (4.0 * budget + 100_000) / max(1, r["chars"]))
-        if share < 1:
-            bound = F.when(F.col(lang_col) == r[lang_col], F.lit(int(-(1 << 63) + (1 << 64) * share))).otherwise(bound)
-    sample = known.withColumn("hash", F.xxhash64(id_col)).filter(F.col("hash") <= bound)
-    rows = sample.select(lang_col, "hash", F.substring(text_col, 1, budget).alias("text")).orderBy(lang_col, "hash", "text").collect() if totals else []
-    table, texts = letter_table(), {r[lang_col]: [] for r in totals}
-    have = dict.fromkeys(texts, 0)
-    for r in rows:
-        if have[r[lang_col]] < budget:
-            points = np.frombuffer((" " + r["text"]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            folded, _ = letters_of(points, np.zeros(len(points), np.int64), table)
-            texts[r[lang_col]].append(folded[: budget - have[r[lang_col]]])
-            have[r[lang_col]] += len(texts[r[lang_col]][-1])
+    budget = max(200, min(letters_per_language, most_letters // max(1, known.select(lang_col).distinct().count())))
+    usable = F.least(F.length(text_col), F.lit(budget))
+    totals = known.groupBy(lang_col).agg(F.sum(usable).alias("chars")).orderBy(lang_col).collect()
+    share = {r[lang_col]: min(1.0, (4.0 * budget + 100_000) / max(1, r["chars"])) for r in totals}  # about four times the letters needed
+    hashed = known.withColumn("hash", F.xxhash64(id_col))
+    table, texts = letter_table(), {k: [] for k in share}
+    short = list(share)
+    while short:
+        bound = F.lit((1 << 63) - 1)
+        for k in short:
+            if share[k] < 1:
+                bound = F.when(F.col(lang_col) == k, F.lit(int(-(1 << 63) + (1 << 64) * share[k]))).otherwise(bound)
+        sample = hashed.filter(F.col(lang_col).isin(short) & (F.col("hash") <= bound))
+        have = dict.fromkeys(short, 0)
+        texts |= {k: [] for k in short}
+        for r in sample.select(lang_col, "hash", F.substring(text_col, 1, budget).alias("text")).orderBy(lang_col, "hash", "text").collect():
+            k = r[lang_col]
+            if have[k] < budget:
+                points = np.frombuffer((" " + r["text"]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                folded, _ = letters_of(points, np.zeros(len(points), np.int64), table)
+                texts[k].append(folded[: budget - have[k]])
+                have[k] += len(texts[k][-1])
+        short = [k for k in short if have[k] < budget and share[k] < 1]  # too few letters: more rows, again of least hash
+        share |= {k: min(1.0, share[k] * 8) for k in short}
     joined = {k: np.concatenate(v) if v else np.zeros(0, np.uint32) for k, v in texts.items()}
     seen, count = np.unique(np.concatenate([*joined.values(), np.array([32], np.uint32)]), return_counts=True)
-    common = np.sort(seen[np.argsort(-count, kind="stable")[:255]])
-    symbol = {int(c): s + 1 for s, c in enumerate(common)}
-    alphabet, tables = len(symbol) + 1, []
+    ranked = seen[np.argsort(-count, kind="stable")]
+    symbol = {int(c): s + 1 for s, c in enumerate([*np.sort(ranked[:255]), *ranked[255:]])}
+    alphabet, tables, sparse = min(len(symbol), 255) + 1, [], []
     for text in joined.values():
-        go = suffix_automaton(np.array([symbol.get(int(c), 0) for c in text], np.int64), alphabet)
+        go, *others = suffix_automaton(np.array([symbol[int(c)] for c in text], np.int64), alphabet)
         go[:, 0] = -1  # the symbol of unknown letters matches nothing
         tables.append(go.ravel())
-    return Languages(list(joined), symbol, tables, alphabet, table)
+        sparse.append(tuple(others))
+    return Languages(list(joined), symbol, tables, sparse, alphabet, table)
 
 
 def identify(docs: DataFrame, model: Languages, block: int = 512, text_col: str = "text") -> DataFrame:
