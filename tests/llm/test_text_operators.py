@@ -143,17 +143,22 @@ def test_jaccard_edge_tables(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("2", 0, "2"), ("4", 1, "4"), ("4", 1, "4"), ("None", 0, "None")]
 
 
-def test_levels_cover_all_linked_sizes():
+def test_prefixes_of_linked_sets_meet():
+    import numpy as np
     from fractions import Fraction
 
-    for t in (Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)):
-        levels = ngrams.Levels(t, 3000)
-        for a in range(1, 1500):
-            for b in {a, a + 1, int(a / t)}:
-                if a <= b and a >= t * b:
-                    x, y = levels.of(a), levels.of(b)
-                    assert y - x in (0, 1)
-                    assert levels.groups[x] - levels.slack[x] > (a + b) * (1 - t) / (1 + t)
+    rng = np.random.default_rng(3)
+    for t in (Fraction(9, 10), Fraction(4, 5), Fraction(1, 2), Fraction(7, 10)):
+        for _ in range(3000):
+            a = int(rng.integers(1, 60))
+            b = int(rng.integers(a, int(a / t) + 1))
+            both = int(rng.integers(0, a + 1))
+            if both < t * (a + b - both) or (both == a == b):
+                continue
+            tokens = rng.permutation(a + b - both)
+            x, y = np.sort(tokens[:a]), np.sort(tokens[a - both :])
+            (index, _), (_, probe) = (ngrams.prefixes(np.array([n]), t) for n in (a, b))
+            assert np.intersect1d(x[: index[0]], y[: probe[0]]).size
 
 
 def test_count_tree_prunes_only_what_cannot_link():
