@@ -216,30 +216,34 @@ def shared_matches(txns: DataFrame, cands: DataFrame, policy: Policy) -> DataFra
                 c = c.filter(F.coalesce(compact_key(F.col("issuing_party")) == compact_key(F.lit(party)), F.lit(True)) | (F.coalesce("issuing_party", F.lit("")) == ""))
             for field, want in r.shared_filters.get(pattern, {}).items():
                 c = c.filter(rules.value_matches(F.col(field), want, dict(cands.dtypes)[field]))
-            pairs = nearby(txns.filter(F.col("rule") == i), c, policy)
-            if r.name in policy.same_month_rules:
-                pairs = pairs.filter(dates.same_month(F.col("date"), F.col("date_issued")))
-            best = first_by(pairs, KEYS, [F.col("rank"), F.col("cand_ord")])
+            best = nearest_by_day(txns.filter(F.col("rule") == i), c, policy, r.name in policy.same_month_rules)
             found.append(best.select(*KEYS, "candidate_id", F.lit("shared").alias("stage"), F.lit(k).alias("ord")))
     return reduce(DataFrame.unionByName, found) if found else txns.select(*KEYS, F.lit(None).cast("string").alias("candidate_id"), F.lit("shared").alias("stage"), F.lit(0).alias("ord")).limit(0)
 
 
-def nearby(txns: DataFrame, cands: DataFrame, policy: Policy) -> DataFrame:
-    """Pairs inside the date window: an equi-join on the months that the window touches."""
-    span = policy.window_days
-    c = cands.withColumn("__day", dates.iso_date(F.col("date_issued"))).filter("__day IS NOT NULL").withColumn("__month", F.trunc("__day", "MM"))
-    c = c.withColumnRenamed("ord", "cand_ord").drop("__day")
-    t = txns.withColumn("__day", dates.iso_date(F.col("date"))).filter("__day IS NOT NULL")
-    months = F.sequence(F.trunc(F.date_sub("__day", span), "MM"), F.trunc(F.date_add("__day", span), "MM"), F.expr("INTERVAL 1 MONTH"))
-    t = t.withColumn("__month", F.explode(months)).drop("__day")
-    return t.join(c, "__month").drop("__month").withColumn("rank", date_rank(F.col("date"), F.col("date_issued"), policy)).filter("rank IS NOT NULL")
+def nearest_by_day(txns: DataFrame, cands: DataFrame, policy: Policy, same_month: bool) -> DataFrame:
+    """Rows with candidate_id and file_name of their nearest document in the window.
+
+    Only days and a document's place rank, so each day's first document meets
+    each distinct day of the rows (on the months that its window touches), and
+    the rows take what their day found.
+    """
+    span, day, its = policy.window_days, F.col("__day"), F.col("__its")
+    docs = cands.withColumn("__its", dates.iso_date(F.col("date_issued"))).filter("__its IS NOT NULL")
+    docs = docs.groupBy("__its").agg(F.min(F.struct("ord", "candidate_id", "file_name")).alias("__doc")).withColumn("__month", F.trunc("__its", "MM"))
+    rows = txns.withColumn("__day", dates.iso_date(F.col("date"))).filter("__day IS NOT NULL")
+    months = F.sequence(F.trunc(F.date_sub(day, span), "MM"), F.trunc(F.date_add(day, span), "MM"), F.expr("INTERVAL 1 MONTH"))
+    pairs = rows.select("__day").distinct().withColumn("__month", F.explode(months)).join(docs, "__month")
+    pairs = pairs.filter((F.abs(F.datediff(its, day)) <= span) & (F.lit(not same_month) | (F.trunc(its, "MM") == F.trunc(day, "MM"))))
+    rank = F.struct(F.abs(F.datediff(its, day)).alias("days"), (F.datediff(its, day) > 0).alias("after"), F.col("__doc").alias("doc"))
+    best = pairs.groupBy("__day").agg(F.min(rank)["doc"].alias("__doc"))
+    return rows.join(best, "__day").select(*txns.columns, "__doc.candidate_id", "__doc.file_name")
 
 
 def shared_period_matches(txns: DataFrame, cands: DataFrame, edges: DataFrame, policy: Policy) -> DataFrame:
     """The month's nearest shared-period document of a row that names a shared counterparty."""
     t = txns.filter(F.col("rule").isNotNull() & F.col("category").isin(*policy.shared_categories) & F.col("is_shared_period_row"))
-    pairs = nearby(t, cands.filter("is_shared_period"), policy).filter(dates.same_month(F.col("date"), F.col("date_issued")))
-    best = first_by(pairs, KEYS, [F.col("rank"), F.col("cand_ord")])
+    best = nearest_by_day(t, cands.filter("is_shared_period"), policy, same_month=True)
     have = edges.join(cands.select("candidate_id", "file_name"), "candidate_id").select(*KEYS, "file_name").distinct()
     return best.join(have, [*KEYS, "file_name"], "left_anti").select(*KEYS, "candidate_id", F.lit("shared-period").alias("stage"), F.lit(0).alias("ord"))
 
