@@ -125,17 +125,18 @@ def table_digest(rows: DataFrame, name: str, digest: str) -> DataFrame:
     return rows.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256), 1, 16).alias("digest"))
 
 
-def bucketed_digest(rows: DataFrame, name: str, digest: str, buckets: int = 4096) -> DataFrame:
+def bucketed_digest(rows: DataFrame, name: str, digest: str, digits: int = 4) -> DataFrame:
     """Digest of a table of any size, in another form than :func:`table_digest`.
 
-    A line is ``name:hash:n`` of n equal rows.  Lines go to ``buckets`` by the
-    xxhash64 of the line without n; a bucket's digest is the SHA-256 of its
-    sorted lines, and the result the first 16 hex digits of the SHA-256 of the
-    ``bucket:digest`` lines in bucket order.  Both join lines by a line feed.
+    A line is ``name:hash:n`` of n equal rows.  Lines go to buckets by the first
+    ``digits`` hex digits of the MD5 of the line without n; a bucket's digest is
+    the SHA-256 of its sorted lines, and the result the first 16 hex digits of
+    the SHA-256 of the ``bucket:digest`` lines in bucket order.  Both join lines
+    by a line feed.
     """
     lines = rows.groupBy(F.concat_ws(":", name, digest).alias("line")).agg(F.count("*").alias("n"))
     joined = lambda c: F.sha2(F.array_join(c, "\n"), 256)
     line = F.concat_ws(":", "line", F.col("n").cast("string"))
-    each = lines.groupBy(F.pmod(F.xxhash64("line"), F.lit(buckets)).alias("bucket")).agg(joined(F.sort_array(F.collect_list(line))).alias("digest"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda b: F.concat_ws(":", b["bucket"].cast("string"), b["digest"]))
+    each = lines.groupBy(F.substring(F.md5("line"), 1, digits).alias("bucket")).agg(joined(F.sort_array(F.collect_list(line))).alias("digest"))
+    ordered = F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "digest")))
     return each.agg(F.substring(joined(ordered), 1, 16).alias("digest"))

@@ -217,8 +217,8 @@ def month_window(spark, sf_dir):
     return exports.month_window(r, "1997-01", "month").groupBy("month").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT lower(prefix) AS merged, list_sort(list(file_name)) AS files FROM (
-  SELECT file_name, unnest(['all', regexp_extract(file_name, '^([A-Za-z0-9]+)_', 1)]) AS prefix FROM v_cand WHERE total_amount > 480) GROUP BY 1""")
+@query(r"""SELECT merged, row_number() OVER (PARTITION BY merged ORDER BY file_name) - 1 AS position, file_name FROM (
+  SELECT file_name, lower(unnest(['all', regexp_extract(file_name, '^([A-Za-z0-9]+)_', 1)])) AS merged FROM v_cand)""")
 def merge_manifest(spark, sf_dir):
     return exports.merge_manifest(cands(spark, sf_dir))
 
@@ -532,7 +532,7 @@ def approval_upsert(spark, sf_dir):
 # functions
 
 
-@query(r"""SELECT doc_id, regexp_replace(lower(strip_accents(left(text, 200))), '[^\p{L}\p{N}]+', '', 'g') AS compact, trim(regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', '', 'g') AS compact, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
 def text_keys(spark, sf_dir):
     whole = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.when(whole.isNotNull(), text.compact_key(whole)).alias("compact"), F.when(whole.isNotNull(), text.slug(whole)).alias("slug"))
@@ -592,7 +592,7 @@ def issuer_normalized(spark, sf_dir):
     return parties.normalized_issuers(names, every).select("c_custkey", "issuing_party")
 
 
-@query("""SELECT l_orderkey, l_linenumber, sum(l_extendedprice) OVER w AS near FROM lineitem WHERE l_orderkey <= 2000 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+@query("""SELECT l_orderkey, l_linenumber, sum(l_extendedprice) OVER w AS near FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
 def page_window_amounts(spark, sf_dir):
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     page = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
@@ -657,13 +657,15 @@ def classify_documents(spark, sf_dir):
     return sync.classified_documents(d, [{"any": ["vat"], "type": "tax-x"}]).select("o_orderkey", "document_type", "date_issued", "class_confidence")
 
 
-@query("SELECT hash_content AS hash_file, max(path) AS path FROM v_file WHERE hash_content < '4' GROUP BY 1")
+@query("SELECT hash_content AS hash_file, max(path) AS path FROM v_file WHERE hash_content IS NOT NULL GROUP BY 1")
 def archive_by_hash(spark, sf_dir):
     f = files(spark, sf_dir).withColumn("hash_file", F.col("hash_content"))
-    return exports.archived(f, f.select("hash_file").filter("hash_file < '4'").distinct())[0]
+    return exports.archived(f, f.select("hash_file").distinct())[0]
 
 
-@query("SELECT substr(sha256(string_agg(path::VARCHAR || ':' || hash_content, chr(10) ORDER BY path::VARCHAR || ':' || hash_content)), 1, 16) AS digest FROM v_file WHERE path < 50 AND hash_content IS NOT NULL")
+@query("""SELECT substr(sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)), 1, 16) AS digest FROM (
+  SELECT substr(md5(line), 1, 4) AS bucket, sha256(string_agg(line || ':' || n::VARCHAR, chr(10) ORDER BY line || ':' || n::VARCHAR)) AS digest FROM (
+    SELECT concat_ws(':', path::VARCHAR, hash_content) AS line, count(*) AS n FROM v_file WHERE hash_content IS NOT NULL GROUP BY 1) GROUP BY 1)""")
 def directory_digest(spark, sf_dir):
     f = files(spark, sf_dir).filter("hash_content IS NOT NULL").withColumn("path", F.col("path").cast("string"))
     return dedup.bucketed_digest(f, "path", "hash_content")
