@@ -13,14 +13,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Every round joins each node's neighbours to their least: first the greater
     ones, then the smaller ones, until nothing changes; rounds grow with the
-    logarithm of the size.  The minima are pre-aggregated, so a hub is no hot
-    group.  Rounds are tables in the shared folder.
+    logarithm of the size.  Minima are pre-aggregated and stored before a join,
+    so that both sides of it are plain shuffles, of which adaptive execution
+    splits a hub's part.  Rounds are tables in the shared folder.
     """
     now = saved(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = saved(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo < hi").distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).filter("lo < hi").distinct()

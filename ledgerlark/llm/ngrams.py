@@ -152,13 +152,19 @@ def count_points(values: np.ndarray, rows: np.ndarray, dims: np.ndarray) -> np.n
     return np.bincount(base[rows] + group // (1024 // dims[rows]), minlength=int(dims.sum()))
 
 
+def snug(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the fewest bytes."""
+    most = int(values.max()) if values.size else 0
+    return values.astype("<u1" if most < 256 else "<u2" if most < 65536 else "<u4")
+
+
 def narrow(values: np.ndarray) -> bytes:
-    width = 1 if not len(values) or values.max() < 256 else 2 if values.max() < 65536 else 4
-    return bytes([width]) + squeeze(values.astype(f"<u{width}").tobytes())
+    values = snug(values)
+    return bytes([values.itemsize]) + squeeze(values.tobytes())
 
 
 def widened(packed: bytes) -> np.ndarray:
-    return np.frombuffer(unsqueeze(packed[1:]), f"<u{packed[0]}").astype(np.uint32)
+    return np.frombuffer(unsqueeze(packed[1:]), f"<u{packed[0]}")
 
 
 def key_batches(size: int, t: Fraction, order, bits: int, hot: float, range_bits: int):
@@ -208,7 +214,8 @@ def key_batches(size: int, t: Fraction, order, bits: int, hot: float, range_bits
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(top)) + 1, [len(top)]]) if len(top) else [0]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 used, at = np.unique(docs[x:y], return_inverse=True)
-                own = points[ragged(base[used], dims[used])]
+                own = used[np.argsort(dims[used], kind="stable")]  # sets of few groups first
+                own = points[ragged(base[own], dims[own])]
                 out = (int(top[x]), pack_sorted(keys[x:y]), planes(at), np.packbits(role[x:y]).tobytes(), planes(nodes[used]), planes(sizes[used]), narrow(own))
                 yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(out, kinds, strict=True)], names=names)
         returned()
@@ -288,32 +295,38 @@ class Postings:
 
     def __init__(self, table: pa.Table, t: Fraction):
         self.t = t
-        keys, docs, role, nodes, sizes, points, n = [], [], [], [], [], [], 0
-        for row in table.to_pylist():
+        keys, docs, role, nodes, sizes, n = [], [], [], [], [], 0
+        points: dict = {d: ([], [np.zeros((0, d), np.uint8)]) for d in DIMS}  # by groups: numbers of sets, their points
+        for k in range(table.num_rows):
+            row = {c: table[c][k].as_py() for c in table.column_names}
             keys.append(unpack_sorted(row["keys"]))
-            docs.append(unplanes(row["doc"]).astype(np.int64) + n)
+            docs.append(unplanes(row["doc"]).astype(np.int32) + np.int32(n))
             role.append(np.unpackbits(np.frombuffer(row["role"], np.uint8), count=len(keys[-1])).astype(bool))
             nodes.append(unplanes(row["nodes"]))
             sizes.append(unplanes(row["sizes"]).astype(np.int64))
-            points.append(widened(row["points"]))
+            flat, upto, dims = widened(row["points"]), 0, dims_of(sizes[-1])
+            for d in DIMS:
+                mine = np.flatnonzero(dims == d)
+                points[d][0].append(mine + n)
+                points[d][1].append(flat[upto : upto + len(mine) * d].reshape(-1, d))
+                upto += len(mine) * d
             n += len(nodes[-1])
-        keys, docs, role, nodes, sizes, points = (np.concatenate(x) for x in (keys, docs, role, nodes, sizes, points))
-        dims = dims_of(sizes)
-        base = np.cumsum(dims) - dims
+        keys, docs, role, nodes, sizes = (np.concatenate(x) for x in (keys, docs, role, nodes, sizes))
         self.nodes, kept, at = np.unique(nodes, return_index=True, return_inverse=True)
-        self.sizes, self.dims, base, docs = sizes[kept], dims[kept], base[kept], at[docs]
-        self.points = {}  # by groups: (row of the matrix for each node, matrix)
+        self.sizes, docs = sizes[kept], at[docs]
+        self.dims = dims_of(self.sizes)
+        wide = {}
         for d in DIMS:
-            rows = np.flatnonzero(self.dims >= d)
-            place = np.full(len(self.nodes), -1)
-            place[rows] = np.arange(len(rows))
-            matrix = np.zeros((len(rows), d), np.uint16)
-            for wide in DIMS:
-                mine = rows[self.dims[rows] == wide]
-                if len(mine):
-                    own = points[ragged(base[mine], np.full(len(mine), wide))].reshape(len(mine), d, wide // d).sum(axis=2)
-                    matrix[place[mine]] = np.minimum(own, 65535)
-            self.points[d] = place, matrix
+            number = np.concatenate(points[d][0])
+            first = kept[self.dims == d]
+            wide[d] = np.concatenate(points[d][1])[np.searchsorted(number, first)]
+            points[d] = None
+        self.points = {}  # by groups: (row of the matrix for each node, matrix)
+        for d in DIMS:  # points of more groups are folded to fewer, too
+            at = np.full(len(self.nodes), -1, np.int32)
+            folded = [snug(wide[w].reshape(-1, d, w // d).sum(axis=2, dtype=np.uint32)) if w > d else wide[w] for w in DIMS if w >= d]
+            at[np.concatenate([np.flatnonzero(self.dims == w) for w in DIMS if w >= d])] = np.arange(sum(map(len, folded)), dtype=np.int32)
+            self.points[d] = at, np.concatenate(folded)
         # a list has every set once, those that may be the smaller one first
         ranked = np.lexsort((docs, ~role, keys))
         keys, docs, role = keys[ranked], docs[ranked], role[ranked]
