@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .codecs import planes, unplanes
 from .common import saved, shipped
 from .kernels import Hasher, Words, mix, pieces, returned, text_buffers
 
@@ -76,8 +77,11 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     returned()
 
 
+CHOSEN = "labels binary, sizes binary, numbers binary, sentences array<string>"
+
+
 def chosen_batches(keys: np.ndarray, groups):
-    """By document: the numbers of its chosen features, and its sentences that name a group."""
+    """By some megabytes of text: labels, the numbers of each document's chosen features, and sentences that name a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher("alnum")
@@ -90,13 +94,9 @@ def chosen_batches(keys: np.ndarray, groups):
                 number = np.searchsorted(keys, feature)
                 ok = number < len(keys)
                 ok[ok] = keys[number[ok]] == feature[ok]
-                row, number = row[ok], number[ok]
-                at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(number.astype(np.int32)))
-                said = [[] for _ in range(i, j)]
-                for k in naming.tolist():
-                    said[k] = sorted({x[0] for x in sentences_with_terms([batch.column("text")[i + k].as_py()], groups)})
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), lists, pa.array(said, pa.list_(pa.string()))], names=["label", "features", "sentences"])
+                said = sorted({x[0] for k in naming.tolist() for x in sentences_with_terms([batch.column("text")[i + k].as_py()], groups)})
+                packed = [planes(x) for x in (np.asarray(batch.column("label").slice(i, j - i)), np.bincount(row[ok], minlength=j - i), number[ok])]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in packed), pa.array([said], pa.list_(pa.string()))], names=[c.split()[0] for c in CHOSEN.split(", ")])
         returned()
 
     return run
@@ -215,7 +215,8 @@ def train(
     ``most_bytes`` of text at most.  Feature counts by label are summed by
     Spark; the ``most_features`` that tell the labels apart best (two-sample z
     of their rates) and the identity terms are kept, and only those numbers, and
-    at most ``most_sentences`` sentences with identity terms, reach the driver.
+    the ``most_sentences`` distinct sentences with identity terms of least hash,
+    reach the driver.
     Rows with a null label or text are not learnt from; a row labelled twice
     has the greater label.
     """
@@ -237,12 +238,13 @@ def train(
     best = counts.filter(F.col("n") >= least_docs).withColumn("worth", worth).filter(F.col("worth") >= least_worth).orderBy(F.desc("worth"), "feature").limit(most_features)
     keys = np.array([r["feature"] for r in best.select("feature").collect()], np.int64).view(np.uint64)
     keys = np.union1d(keys, np.concatenate([term_key(t) for g in groups for t in g]))
-    got = rows.mapInArrow(chosen_batches(keys, groups), "label int, features array<int>, sentences array<string>").toArrow()
-    lists = got["features"].combine_chunks()
-    col = np.asarray(lists.flatten(), np.int64)
-    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-    sentences = sorted(set(got["sentences"].combine_chunks().flatten().to_pylist()))[:most_sentences]
-    return fit(np.asarray(got["label"]), row, col, keys, sentences, **options)
+    chosen = saved(rows.mapInArrow(chosen_batches(keys, groups), CHOSEN), "chosen-features")
+    packs = sorted(tuple(map(bytes, r)) for r in chosen.select("labels", "sizes", "numbers").collect())
+    y, sizes, col = (np.concatenate([unplanes(x) for x in part]).astype(np.int32) for part in zip(*packs, strict=True))
+    said = chosen.select(F.explode("sentences").alias("said")).distinct().orderBy(F.xxhash64("said"), "said").limit(most_sentences).collect()
+    model = fit(y, np.repeat(np.arange(len(y), dtype=np.int32), sizes), col, keys, [r["said"] for r in said], **options)
+    returned()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -250,13 +252,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     shared = shipped(docs.sparkSession, model)
 
     @F.arrow_udf("double")
-    def scored(text: pa.Array) -> pa.Array:
-        model, hasher, found = pickle.loads(shared.value), Hasher("alnum"), []
-        data, offsets, _ = text_buffers(text)
-        for i, j in pieces(offsets):
-            found.append(model.logits(hasher.words(data, offsets[i : j + 1])))
-        z = np.concatenate(found) if found else np.zeros(0)
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, hasher = pickle.loads(shared.value), Hasher("alnum")
+        for text in texts:
+            data, offsets, _ = text_buffers(text)
+            found = [model.logits(hasher.words(data, offsets[i : j + 1])) for i, j in pieces(offsets)]
+            z = np.concatenate(found) if found else np.zeros(0)
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())
         returned()
-        return pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())
 
     return docs.withColumn(out, scored(F.col(text_col)))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .codecs import pack_sorted, planes, squeeze, unpack_sorted, unplanes, unsqueeze
 from .common import saved, text_bytes
-from .graphs import components
+from .graphs import components, forest, joined
 from .kernels import Hasher, mix, pieces, ragged, returned, text_buffers, window_starts
 
 DIMS = (64, 256, 1024)  # groups of sets of up to DIM_SIZES shingles
@@ -223,28 +223,6 @@ def key_batches(size: int, t: Fraction, order, bits: int, hot: float, range_bits
     return run
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least, node) edges that join what the edges a-b join, one for each node."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    label = joined(at[: len(a)], at[len(a) :], np.arange(len(nodes)))
-    other = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[label[other]], nodes[other]
-
-
-def joined(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Labels (the least number of each part) after joining u-v, given such labels."""
-    while True:
-        least = np.minimum(label[u], label[v])
-        new = label.copy()
-        for end in (u, v):
-            np.minimum.at(new, end, least)
-            np.minimum.at(new, label[end], least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 class CountTree:
     """R-tree over group counts, packed by halving along the widest coordinate."""
 
