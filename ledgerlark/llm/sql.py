@@ -91,3 +91,44 @@ FROM e GROUP BY conv_id
 """
 
 ORACLE_SQL = {"op1_mix_sources": OP1, "op9_url_filter": OP9, "op10_chat": OP10}
+
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Windows of words as texts; hits by equal windows, then by covered words.
+ORACLE_SQL["op2_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+items AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+phrases AS (SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM items)),
+places AS (SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS phrase
+  FROM (SELECT d.*, l.n, unnest(range(1, len(w) - l.n + 2)) AS s FROM d, (SELECT DISTINCT n FROM items) l WHERE len(w) >= l.n)),
+hits AS (SELECT p.doc_id, p.s, p.n, f.item_id FROM places p JOIN phrases f USING (n, phrase)),
+words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM hits) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+#: Each window's first place, then the words that later ones cover.
+ORACLE_SQL["op6_dedup_substrings"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+places AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - 18)) AS s FROM d)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, s) AS k FROM places) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS place FROM later),
+left_ AS (SELECT a.doc_id, count(*) AS n, string_agg(a.word, ' ' ORDER BY a.place) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d) a ANTI JOIN gone g ON a.doc_id = g.doc_id AND a.place = g.place GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_ USING (doc_id)"""
+
+#: Pairs by shared shingles, then the least document that links reach.
+ORACLE_SQL["op3_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 2], ' ') AS shingle FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS s FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs p JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * p.n >= 90 * (a.n + b.n - p.n)),
+reach AS (SELECT DISTINCT x AS doc_id, x AS node FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.node),
+least_ AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_ USING (doc_id)"""
