@@ -29,7 +29,7 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).alias("text_key"),
     )
     placed = sharding.shard(docs, shards=16, size_col="size", key_col="text_key")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -93,7 +93,8 @@ def shard(
     half a cell, a cell being ``tolerance`` of a shard's bytes or one key.  A
     row's size is ``size_col``, else the text's UTF-8 bytes plus 1 (null: 1).
     Keys are ``key_col``, else xxhash64 of the text (null: 0); then the id (null
-    sorts first).  Rows alike in both are indistinguishable and stay together.
+    sorts first).  Rows alike in both stay together up to ``shards`` rows; more
+    are split by number where they are beyond the tolerance.
     An empty table has no shards.  Other columns pass through; the columns
     ``shard`` and ``slot`` are replaced, names starting ``__`` are reserved.
     """
@@ -103,9 +104,19 @@ def shard(
     rows = docs.withColumns({"__k1": k1.cast("long"), "__k2": k2, "__size": size.cast("long")})
     keys = saved(rows.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__size").alias("size")), "shard-keys")
     total, count = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    cells = histogram_cells(keys, min(max(1.0, total / shards * tolerance), float(cell_bytes)), max(probes, 2 * total // cell_bytes)) if count else []
+    most = min(max(1.0, total / shards * tolerance), float(cell_bytes))
+    cells = histogram_cells(keys, most, max(probes, 2 * total // cell_bytes)) if count else []
 
-    ends = np.cumsum([c[1] for c in cells]) if cells else np.zeros(0)
+    if not cells:
+        return docs.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")}).limit(0)
+    # a cell beyond the tolerance has one key, so its rows have one text and one size: it is cut by their numbers
+    base, per, parts = [], [], []
+    for _, size_, n in cells:
+        k = max(1, int(most * n / size_)) if size_ > most and n > shards else n
+        base.append(len(parts))
+        per.append(k)
+        parts += [(size_ / n * min(k, n - i), min(k, n - i)) for i in range(0, n, k)]
+    ends = np.cumsum([x[0] for x in parts])
     cut = [0]
     for s in range(1, shards):
         want = total * s / shards
@@ -113,20 +124,19 @@ def shard(
         if i < len(ends) and abs(ends[i] - want) <= abs((ends[i - 1] if i else 0) - want):
             i += 1
         cut.append(max(cut[-1], i))
-    of_cell = np.searchsorted(cut, np.arange(len(cells)), "right") - 1
-    before = np.concatenate([[0], np.cumsum([c[2] for c in cells])]).astype(np.int64)
-    first = [int(before[i] - before[cut[s]]) for i, s in enumerate(of_cell)]
+    of_part = np.searchsorted(cut, np.arange(len(parts)), "right") - 1
+    before = np.concatenate([[0], np.cumsum([x[1] for x in parts])]).astype(np.int64)
+    first = [int(before[i] - before[cut[s]]) for i, s in enumerate(of_part)]
 
-    if not cells:
-        return docs.withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")}).limit(0)
     edges = [c[0] for c in cells]
-    facts = constant(list(zip(of_cell.tolist(), first, strict=True)))
+    cuts = constant(list(zip(base, per, strict=True)))
+    facts = constant(list(zip(of_part.tolist(), first, strict=True)))
 
     inside = Window.partitionBy("__cell").orderBy("__k1", "__k2")
     placed = (
         rows.withColumn("__cell", cell_of(edges, "__k1", "__k2"))
-        .withColumn("__row", F.row_number().over(inside))
-        .withColumn("__facts", F.get(facts, F.col("__cell")))
-        .withColumns({"shard": F.col("__facts.a").cast("int"), "slot": F.col("__facts.b") + F.col("__row") - 1})
+        .withColumns({"__row": (F.row_number().over(inside) - 1).cast("long"), "__cut": F.get(cuts, F.col("__cell"))})
+        .withColumn("__facts", F.get(facts, (F.col("__cut.a") + F.floor(F.col("__row") / F.col("__cut.b"))).cast("int")))
+        .withColumns({"shard": F.col("__facts.a").cast("int"), "slot": F.col("__facts.b") + F.col("__row") % F.col("__cut.b")})
     )
-    return placed.drop("__k1", "__k2", "__size", "__cell", "__row", "__facts")
+    return placed.drop("__k1", "__k2", "__size", "__cell", "__row", "__cut", "__facts")

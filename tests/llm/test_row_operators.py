@@ -219,3 +219,21 @@ def test_nearest_small(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
     assert neighbours.nearest(vectors_frame(spark, [(0, [1, 0])]), F.col("vec_id") == 0).count() == 0
     assert neighbours.nearest(vectors_frame(spark, [(0, [1, 0])]).limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_shards_split_a_hot_key(spark):
+    """Most rows are alike in text and id; shards stay even and slots gapless."""
+    from ledgerlark.llm import sharding
+
+    rows = [(None, "one text for all of them")] * 3000 + [(i, f"text number {i}" * (1 + i % 3)) for i in range(900)] + [(7, None)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(docs, shards=16).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r.shard, []).append(r)
+    share = sum(size(t) for _, t in rows) / 16
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str) and set(by_shard) == set(range(16))
+    for part in by_shard.values():
+        assert sorted(r.slot for r in part) == list(range(len(part)))
+        assert abs(sum(size(r.text) for r in part) - share) <= 0.02 * share
