@@ -1,12 +1,16 @@
 """Mixing sources to target weights, with DataFrame expressions only.
 
 Targets fill the whole corpus size by weight, capped at ``most_copies`` times a
-source.  Every (source, shard) cell is a stream of words in a seeded document
-order, cut into blocks of equal words.  Sainte-Lague apportionment (each next
-block goes to the highest quotient votes / (2 k + 1)) gives each source a whole
-number of blocks, and each shard of a source its part of them.  A cell with n
-blocks and a quota q takes block i as often as the rounded line q (i + u) / n
-rises there, u being a seeded offset: floor(q / n) or one more copy each.
+source.  Every (source, shard) cell is a stream of whole documents, the longest
+sizes first and seeded within a size; it is cut into blocks of ``block_words``
+words, and a document belongs to the block in which it starts, so that no text is
+ever cut.  Sainte-Lague apportionment (each next block goes to the highest
+quotient votes / (2 k + 1)) gives each source a whole number of blocks, and each
+shard of a source its part of them.  Block i of a stretch of w words, of which r are to be
+taken, is taken as often as the rounded line (r i + u) / w rises there, u being
+a seeded offset.  A cell is taken in ``LEVELS`` stretches, longest documents
+first; each one's r is what the quota still lacks, so that what a long document
+takes too much or too little is made up by the shorter ones after it.
 
 The window over a source is split into shards of bounded words, so that a hot
 source is spread; only sizes, never texts, are needed to decide.
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
+#: A cell's stream is taken in parts: half of its words, half of the rest, and so on.
+LEVELS = 5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -83,30 +89,30 @@ def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
     most_copies: int = 3,
-    blocks: int = 1 << 17,
-    block_words: int = 2048,
-    shard_words: int = 1 << 26,
+    block_words: int = 256,
+    shard_words: int = 1 << 24,
+    least_shard_words: int = 1 << 17,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``docs`` with what the mix takes of each: size, source_size, target, quota, taken, start.
+    """``docs`` with what the mix takes of each: size, source_size, target, quota (its cell's), copies, taken.
 
     A size is the number of words; a null or empty text has none and gives
-    none.  A block has ``block_words`` words, fewer where the corpus would have
-    under ``blocks`` blocks.  ``start`` is the document's place in its cell's
-    stream; :func:`taken_words` and :func:`taken_texts` read the cuts from it.
-    A null source is a source of its own (last); repeated rows are separate
-    documents; an empty table stays empty.  Columns with the added names are
-    replaced; names starting ``__`` are reserved.
+    none.  ``taken`` is size times copies: documents are taken whole.  A shard
+    holds a 256th of all words, within ``least_shard_words`` and
+    ``shard_words``, and is chosen by id and text.  A null source is a source of
+    its own (last); repeated rows are separate documents; an empty table stays
+    empty.  Columns with the added names are replaced; names starting ``__``
+    are reserved.
     """
-    sizes = docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    facts = sizes.select(F.col(source_col).alias("source"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), "size")
-    facts = saved(facts, "mix-sizes")
+    taken = ("size", "source_size", "target", "quota", "copies", "taken", "shard", "shards", "start", "block", "cell_size", "offset")
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    facts = saved(docs.select(F.col(source_col).alias("source"), key.alias("id"), size.alias("size")), "mix-sizes")
     total = facts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    block = max(1, min(block_words, total // blocks))
-    words_of_shard = max(1, min(shard_words, total // 256))
+    words_of_shard = max(least_shard_words, min(shard_words, total // 256))
 
     targets = source_targets(facts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_copies)
     targets = saved(targets.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / words_of_shard))), "mix-targets")
@@ -114,66 +120,42 @@ def mix(
     cells = facts.alias("f").join(targets.alias("t"), F.col("f.source").eqNullSafe(F.col("t.source")))
     cells = cells.select("t.*", shard_of(F.col("id"), F.col("shards")).alias("shard"), "size")
     cells = cells.groupBy("source", "source_size", "target", "total", "shards", "shard").agg(F.sum("size").alias("cell_size"))
-    cells = saved(cells.withColumn("n_blocks", F.ceil(F.col("cell_size") / block)), "mix-shards")
+    cells = saved(cells.withColumn("n_blocks", F.ceil(F.col("cell_size") / block_words)), "mix-shards")
     by_source = cells.groupBy("source", "source_size", "target", "total", "shards").agg(F.sum("n_blocks").alias("n_blocks"))
-    quotas = apportion(by_source.withColumn("__all", F.lit(0)), F.col("target"), F.round(F.col("total") / block), most_copies * F.col("n_blocks"), ["source"], ["__all"])
+    quotas = apportion(by_source.withColumn("__all", F.lit(0)), F.col("target"), F.round(F.col("total") / block_words), most_copies * F.col("n_blocks"), ["source"], ["__all"])
     quotas = saved(quotas.select("source", F.col("quota").alias("source_quota")), "mix-quotas")
     cells = cells.alias("c").join(quotas.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source"))).select("c.*", "q.source_quota")
     cells = apportion(cells, F.coalesce(F.try_divide(F.col("target") * F.col("cell_size"), F.col("source_size")), F.lit(0.0)), F.col("source_quota"), most_copies * F.col("n_blocks"), ["source", "shard"], ["source"])
-    offset = F.pmod(seeded(seed, F.lit("block"), F.coalesce("source", F.lit("null")), F.col("shard").cast("string")), F.greatest(F.col("n_blocks"), F.lit(1)))
-    cells = saved(cells.select("source", "shard", "shards", "source_size", "target", "n_blocks", "quota", offset.alias("offset")), "mix-cells")
+    offset = F.pmod(seeded(seed, F.lit("block"), F.coalesce("source", F.lit("null")), F.col("shard").cast("string")), F.greatest(F.col("cell_size"), F.lit(1)))
+    cells = saved(cells.select("source", "shard", "shards", "source_size", "target", "cell_size", "quota", offset.alias("offset")), "mix-cells")
 
     per_source = cells.groupBy("source").agg(F.max("shards").alias("shards"))
-    d = sizes.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).drop("source_size", "target", "quota", "taken", "start", "n_blocks", "offset", "block", "shard", "shards")
     here = F.col(f"d.{source_col}")
+    d = docs.drop(*[c for c in taken if c not in (id_col, text_col, source_col)]).withColumns({"size": size, "__id": key})
     d = d.alias("d").join(per_source.alias("p"), here.eqNullSafe(F.col("p.source"))).select("d.*", shard_of(F.col("d.__id"), F.col("p.shards")).alias("shard"))
-    stream = Window.partitionBy(source_col, "shard").orderBy(seeded(seed, F.lit("order"), F.col("__id")), "__id", "size")
-    d = d.withColumn("start", F.sum("size").over(stream) - F.col("size"))
-    cell = cells.select("source", "shard", "source_size", "target", "n_blocks", "quota", "offset").alias("c")
+    cell = cells.select("source", "shard", "source_size", "target", "cell_size", "quota", "offset").alias("c")
     d = d.alias("d").join(cell, here.eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard")))
-    d = d.select("d.*", *[F.col(f"c.{k}") for k in ("source_size", "target", "n_blocks", "quota", "offset")])
-    d = d.withColumn("block", F.lit(block).cast("long"))
-    return d.withColumn("taken", taken_words(F.col("start"), F.col("start") + F.col("size"))).drop("__id")
-
-
-def _line(i: Column) -> Column:
-    """Copies of all blocks before block i."""
-    n, q, u = F.nullif(F.col("n_blocks"), F.lit(0)), F.col("quota"), F.col("offset")
-    return F.floor(q * (i + u) / n) - F.floor(q * u / n)
-
-
-def taken_words(start: Column, end: Column) -> Column:
-    """Words that the mix takes, repeats counted, of the stream's words from start to end."""
-
-    def upto(x: Column) -> Column:
-        i = F.floor(x / F.col("block"))
-        return _line(i) * F.col("block") + F.pmod(x, F.col("block")) * (_line(i + 1) - _line(i))
-
-    return F.when(F.col("n_blocks") > 0, upto(end) - upto(start)).otherwise(F.lit(0)).cast("long")
-
-
-def taken_texts(mixed: DataFrame, columns: list[str], most_copies: int = 3, text_col: str = "text") -> DataFrame:
-    """The mixed corpus: one row for each copy of a document, with ``columns``.
-
-    Copy c holds the words of the blocks that are taken at least c times, with
-    the white space that follows them; a whole document stays as it is.  A copy
-    without words is no row.
-    """
-    b, at = F.col("block"), F.col("start")
-    first, last = F.floor(at / b), F.floor((at + F.col("size") - 1) / b)
-    cut = F.transform(
-        F.sequence(first, last),
-        lambda i: F.struct(
-            (F.greatest(i * b, at) - at + 1).cast("int").alias("from"),
-            (F.least((i + 1) * b, at + F.col("size")) - F.greatest(i * b, at)).cast("int").alias("words"),
-            (_line(i + 1) - _line(i)).alias("copies"),
-        ),
-    )
-    d = mixed.filter("taken > 0").withColumn("__cut", cut)
-    d = d.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.array_max(F.col("__cut.copies")).cast("int"))))
-    d = d.withColumn("__cut", F.filter("__cut", lambda x: x["copies"] >= F.col("__copy")))
-    whole = F.aggregate(F.col("__cut.words"), F.lit(0), lambda a, x: a + x) == F.col("size")
-    words = F.regexp_extract_all(text_col, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"))
-    part = F.array_join(F.flatten(F.transform("__cut", lambda x: F.slice(F.col("__words"), x["from"], x["words"]))), "")
-    d = d.withColumn("__words", F.when(whole, F.array().cast("array<string>")).otherwise(words))
-    return d.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part)).select(*columns)
+    d = d.select("d.*", *[F.col(f"c.{k}").alias(f"__{k}") for k in ("source_size", "target", "cell_size", "quota", "offset")])
+    stream = Window.partitionBy(source_col, "shard").orderBy(F.length(F.bin("size")).desc(), seeded(seed, F.lit("order"), F.col("__id")), "__id")
+    upto = stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__block", F.floor((F.sum("size").over(upto) - F.col("size")) / block_words))
+    d = d.withColumn("__new", (F.lag("__block", 1, -1).over(stream) < F.col("__block")).cast("long"))
+    place = F.col("__block") * block_words
+    d = d.withColumns({"__i": F.sum("__new").over(upto) - 1, "__level": sum((place * (1 << k) >= F.col("__cell_size") * ((1 << k) - 1)).cast("int") for k in range(1, LEVELS)), "copies": F.lit(0).cast("long")})
+    for level in range(LEVELS):
+        before = F.col("__level") < level
+        done, passed = (F.coalesce(F.sum(F.when(before, x)).over(upto), F.lit(0)) for x in (F.col("size") * F.col("copies"), F.col("size")))
+        left = F.col("__cell_size") - passed
+        d = d.withColumns({"__left": left, "__rest": F.least(F.greatest(F.col("__quota") * block_words - done, F.lit(0)), most_copies * left)})
+        line = lambda i: F.floor((F.col("__rest") * i + F.pmod("__offset", F.nullif("__left", F.lit(0)))) / F.nullif("__left", F.lit(0)))
+        here_copies = F.coalesce(line(F.col("__i") + 1) - line(F.col("__i")), F.lit(0)).cast("long")
+        d = d.withColumn("copies", F.when(F.col("__level") == level, here_copies).otherwise(F.col("copies")))
+    d = d.withColumn("taken", F.col("size") * F.col("copies"))
+    named = {k: F.col(f"__{k}") for k in ("source_size", "target", "quota")}
+    return d.withColumns(named).drop("__id", "__block", "__new", "__i", "__level", "__left", "__rest", "shard", *[f"__{k}" for k in ("source_size", "target", "cell_size", "quota", "offset")])
+
+
+def taken_texts(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The mixed corpus: one row for each copy of a document, with ``columns``; a document without words is no row."""
+    d = mixed.filter("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return d.select(*columns)

@@ -21,7 +21,7 @@ URL_RULES = (
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "quota", "start")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "quota", "copies")
 
 
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

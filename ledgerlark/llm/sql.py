@@ -2,14 +2,22 @@
 
 _U32 = "('0x' || substr(md5({}), 1, 8))::UBIGINT::BIGINT"
 
+#: One stretch of a cell's stream, after those before it.
+_LEVEL = """
+f{k} AS (SELECT *, cell_size - coalesce(sum(size) FILTER (level < {k}) OVER (PARTITION BY source, shard), 0)::BIGINT AS rest_size,
+        greatest(quota * block - coalesce(sum(size * copies{k}) FILTER (level < {k}) OVER (PARTITION BY source, shard), 0)::BIGINT, 0) AS lack FROM e{k}),
+e{n} AS (SELECT * EXCLUDE (rest_size, lack, copies{k}), CASE WHEN level <> {k} THEN copies{k} WHEN rest_size > 0 THEN
+        (least(lack, 3 * rest_size) * (i + 1) + off % rest_size) // rest_size - (least(lack, 3 * rest_size) * i + off % rest_size) // rest_size
+      ELSE 0 END::BIGINT AS copies{n} FROM f{k})"""
+
 OP1 = f"""
 WITH f AS (
-  SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'null') AS id,
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, '')) AS id,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 g AS (SELECT coalesce(sum(size), 0)::BIGINT AS total,
-             greatest(1, least(2048, coalesce(sum(size), 0)::BIGINT // 131072)) AS block,
-             greatest(1, least(67108864, coalesce(sum(size), 0)::BIGINT // 256)) AS shard_words FROM f),
+             256 AS block,
+             greatest(131072, least(16777216, coalesce(sum(size), 0)::BIGINT // 256)) AS shard_words FROM f),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM f GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS caps,
@@ -35,19 +43,16 @@ cq AS (SELECT c.source, c.shard, sq.seats, c.target * c.cell_size / c.source_siz
        FROM c JOIN sq ON c.source IS NOT DISTINCT FROM sq.source),
 cr AS (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY votes / (2 * k + 1) DESC, shard, k) AS rank FROM cq WHERE votes > 0),
 w AS (SELECT c.*, coalesce(q.n, 0)::BIGINT AS quota,
-        {_U32.format("'17|block|' || coalesce(c.source, 'null') || '|' || c.shard::VARCHAR")} % greatest(c.n_blocks, 1) AS off
+        {_U32.format("'17|block|' || coalesce(c.source, 'null') || '|' || c.shard::VARCHAR")} % greatest(c.cell_size, 1) AS off
       FROM c LEFT JOIN (SELECT source, shard, count(*) AS n FROM cr WHERE rank <= seats GROUP BY source, shard) q
         ON c.source IS NOT DISTINCT FROM q.source AND c.shard = q.shard),
-p AS (SELECT d.doc_id, d.size, d.source_size, d.target, w.quota, w.n_blocks AS n, w.off, d.block,
-        sum(d.size) OVER (PARTITION BY d.source, d.shard ORDER BY {_U32.format("'17|order|' || d.id")}, d.id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
+p AS (SELECT d.doc_id, d.size, d.source, d.shard, d.source_size, d.target, w.quota, w.cell_size, w.off, d.block,
+        (sum(d.size) OVER (PARTITION BY d.source, d.shard ORDER BY length(bin(d.size)) DESC, {_U32.format("'17|order|' || d.id")}, d.id ROWS UNBOUNDED PRECEDING)::BIGINT - d.size) // d.block AS cut
       FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source AND d.shard = w.shard),
-e AS (SELECT *, (start // block) AS i, ((start + size) // block) AS j FROM p)
-SELECT doc_id, size, source_size, target, quota, start,
-  CASE WHEN n > 0 THEN
-    ((quota * (j + off)) // n - (quota * off) // n) * block + ((start + size) % block) * ((quota * (j + 1 + off)) // n - (quota * (j + off)) // n)
-  - ((quota * (i + off)) // n - (quota * off) // n) * block - (start % block) * ((quota * (i + 1 + off)) // n - (quota * (i + off)) // n)
-  ELSE 0 END::BIGINT AS taken
-FROM e
+e0 AS (SELECT *, dense_rank() OVER (PARTITION BY source, shard ORDER BY cut) - 1 AS i, 0::BIGINT AS copies0,
+        (cut * block * 2 >= cell_size)::INT + (cut * block * 4 >= cell_size * 3)::INT + (cut * block * 8 >= cell_size * 7)::INT + (cut * block * 16 >= cell_size * 15)::INT AS level FROM p),
+{",".join(_LEVEL.format(k=k, n=k + 1) for k in range(5))}
+SELECT doc_id, size, source_size, target, quota, copies5 AS copies, size * copies5 AS taken FROM e5
 """
 
 OP9 = r"""
