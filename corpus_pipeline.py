@@ -3,8 +3,7 @@
 1. toxicity: documents that the classifier rejects go.
 2. near_duplicates: one row (of the least doc_id) of each component stays.
 3. decontamination: documents that hold a benchmark passage go.
-4. mixing: sources are taken by weight; a copy is a row, and where a block cuts
-   a document, the row holds the words taken.
+4. mixing: sources are taken by weight, in whole documents; a copy is a row.
 5. sharding: rows get their shard and slot.
 
 A stage takes (spark, docs, sf_dir); what it returns is written as Parquet and
