@@ -64,8 +64,7 @@ def currency_code(c: Column) -> Column:
     return F.when(up.isin("€", "EURO"), F.lit("EUR")).when(up == "$", F.lit("USD")).when(up == "£", F.lit("GBP")).otherwise(F.nullif(up, F.lit("")))
 
 
-def stamp_duty_pair(amounts: Column, rate: float, most_tax: float) -> Column:
-    """Base and tax, the pair of amounts in which the tax is ``rate`` of the base; smallest error first."""
-    pairs = F.flatten(F.transform(amounts, lambda b: F.transform(amounts, lambda t: F.struct(F.abs(b * rate - t).alias("error"), b.alias("base"), t.alias("tax")))))
-    fit = F.filter(pairs, lambda p: (p["base"] > p["tax"]) & (p["tax"] > 0) & (p["tax"] <= most_tax) & (p["error"] <= 0.01))
-    return F.array_min(fit)
+def stamp_duty_pair(amounts: Column, rate: float, most_tax: float, tolerance: float = 0.01) -> Column:
+    """struct<at, base, gross, tax> of two amounts whose difference is a tax of ``rate`` on the lesser; the first gross, then the least base."""
+    pairs = F.flatten(F.transform(amounts, lambda g, i: F.transform(amounts, lambda b: F.struct(i.alias("at"), b.alias("base"), g.alias("gross"), F.round(g - b, 2).alias("tax")))))
+    return F.array_min(F.filter(pairs, lambda p: (p["tax"] > 0) & (p["tax"] <= most_tax) & within(F.round(p["base"] * rate, 2), p["tax"], tolerance)))

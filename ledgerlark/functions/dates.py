@@ -63,11 +63,16 @@ def month_range(months: list[str]) -> tuple[str, str]:
 
 
 def partial_date(c: Column, issued: Column) -> Column:
-    """``dd/mm`` or ``dd-mm`` in the issue date's year; a December day on a January paper is last year's, and the reverse."""
-    day, month = (F.try_to_number(F.nullif(F.regexp_extract(c, r"\b(\d{2})[/-](\d{2})\b", i), F.lit("")), F.lit("99")).cast("int") for i in (1, 2))
+    """The last valid ``dd/mm`` or ``dd-mm`` in the issue date's year; a December day on a January paper is last year's, and the reverse."""
     issue = iso_date(issued)
-    year = F.year(issue) + F.when((month == 12) & (F.month(issue) == 1), -1).when((month == 1) & (F.month(issue) == 12), 1).otherwise(0)
-    return F.date_format(F.try_to_timestamp(F.format_string("%d-%d-%d", year, month, day), F.lit("yyyy-M-d")), "yyyy-MM-dd")
+
+    def dated(found: Column) -> Column:
+        day, month = (F.substring(found, i, 2).cast("int") for i in (1, 4))
+        year = F.year(issue) + F.when((month == 12) & (F.month(issue) == 1), -1).when((month == 1) & (F.month(issue) == 12), 1).otherwise(0)
+        return F.date_format(F.try_to_timestamp(F.format_string("%d-%d-%d", year, month, day), F.lit("yyyy-M-d")), "yyyy-MM-dd")
+
+    valid = F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d{2}[/-]\d{2})\b")), dated), lambda d: d.isNotNull())
+    return F.try_element_at(valid, F.lit(-1))
 
 
 def business_days_after(c: Column, days: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import amount_line, currency_line, stamp_duty_pair
-from ..functions.dates import any_date, business_days_after, partial_date
+from ..functions.dates import any_date, bank_date, business_days_after, partial_date
 from ..functions.text import ascii_fold
 from .matching import LINE_ITEM
 
@@ -39,16 +39,21 @@ def previous_amount(lines: Column, i: Column, before: int) -> Column:
     return F.element_at(F.concat(F.array(F.lit(None).cast("double")), found), -1)
 
 
-def amounts_between(lines: Column, start: Column, end: Column, default: str = "EUR") -> Column:
-    """struct<amount, currency> of the lines strictly between two places; a bare amount has the default currency."""
-    return F.filter(
-        F.transform(F.slice(lines, (start + 2).cast("int"), F.greatest(end - start - 1, F.lit(0)).cast("int")), lambda x: F.struct(amount_line(x).alias("amount"), F.coalesce(currency_line(x)["currency"], F.lit(default)).alias("currency"))),
-        lambda a: a["amount"].isNotNull(),
-    )
+def amounts_between(lines: Column, start: Column, end: Column, default: str | None = None) -> Column:
+    """array<struct<amount, currency>> of the lines strictly between two places.
+
+    A bare amount takes the stand-alone currency line of its number, else the
+    first one, else ``default``.
+    """
+    part = F.slice(lines, (start + 2).cast("int"), F.greatest(end - start - 1, F.lit(0)).cast("int"))
+    alone = F.filter(F.transform(part, lambda x: F.btrim(x)), lambda x: x.rlike("^[A-Z]{3}$"))
+    found = F.filter(F.transform(part, currency_line), lambda a: a["amount"].isNotNull())
+    return F.transform(found, lambda a, k: F.struct(a["amount"].alias("amount"), F.coalesce(a["currency"], F.get(alone, k), F.get(alone, F.lit(0)), F.lit(default).cast("string")).alias("currency")))
 
 
 def page_date(text: Column, fallback: Column) -> Column:
-    return F.coalesce(any_date(F.nullif(F.regexp_extract(text, r"(\d{2}[/-]\d{2}[/-]\d{4}|\d{4}-\d{2}-\d{2})", 1), F.lit(""))), fallback)
+    """The first ``dd/mm/20yy`` or ``dd-mm-20yy`` of a text if it is a date, else the fallback."""
+    return F.coalesce(bank_date(F.regexp_extract(text, r"\b(\d{2}[/-]\d{2}[/-]20\d{2})\b", 1)), fallback)
 
 
 def item(category, label, amount, currency=None, date=None, reference=None, required: bool = True, kind: str | None = None) -> Column:
@@ -77,12 +82,35 @@ def marked_amounts(lines: Column, date: Column, markers: dict[str, str], after:
 
 
 def fee_invoice(lines: Column, date: Column, cfg: dict) -> Column:
-    """A fee with its stamp duty as one item each, found as the pair whose ratio is the rate."""
-    amounts = F.filter(F.transform(lines, amount_line), lambda a: a > 0)
-    pair = stamp_duty_pair(amounts, cfg.get("stamp_duty_rate", 0.04), cfg.get("max_tax", 50.0))
-    has = F.exists(lines, lambda x: F.contains(folded(x), F.lit(cfg["marker"].upper())))
-    both = F.array(item(cfg.get("category", "bank-fee"), cfg["marker"], pair["base"] + pair["tax"], cfg.get("currency", "EUR"), date, kind="bank-fees"))
-    return F.filter(F.when(has & pair.isNotNull(), both).otherwise(F.array().cast(f"array<{LINE_ITEM}>")), lambda x: x["amount"] > 0)
+    """Maintenance fees with their stamp duty, two items each, and custody fees.
+
+    Below a maintenance line, two amounts that differ by the duty on the lesser
+    are fee and total.  A custody fee is the first amount at a total line below
+    its marker; without one, the second small amount below (right under a
+    maintenance line), else the last small amount above.
+    """
+    near = lambda key, usual: int(cfg.get(key, usual))
+    says = lambda x, key: F.contains(folded(x), F.lit(cfg.get(key, "").upper()))
+    none = F.array().cast(f"array<{LINE_ITEM}>")
+
+    def maintenance(x: Column, i: Column) -> Column:
+        pair = stamp_duty_pair(amounts_near(lines, i, 0, near("maintenance_search_after", 25)), cfg.get("stamp_duty_rate", 0.04), cfg.get("max_stamp_duty", 1.0))
+        fee = lambda p: item(cfg.get("maintenance_category", "bank-fee-maintenance"), x, F.round(p["base"], 2))
+        duty = lambda p: item(cfg.get("stamp_duty_category", "bank-fee-stamp-duty"), F.concat(F.lit("Stamp duty for "), x), p["tax"])
+        return F.when(says(x, "maintenance_marker"), F.flatten(F.transform(F.array(pair), lambda p: F.when(p.isNotNull(), F.array(fee(p), duty(p))).otherwise(none)))).otherwise(none)
+
+    def custody(x: Column, i: Column) -> Column:
+        small = lambda found: F.filter(found, lambda a: (a > 0) & (a <= float(cfg.get("custody_fallback_max_amount", 100))))
+        places = F.transform(F.sequence(F.lit(0), F.lit(near("custody_total_search_after", 20) - 1)), lambda j: i + j)
+        totals = F.transform(places, lambda j: F.when(folded(F.get(lines, j)) == cfg.get("total_debit_marker", "").upper(), F.get(amounts_near(lines, j, 0, near("custody_total_amount_after", 3)), F.lit(0))))
+        below = small(amounts_near(lines, i, 0, near("custody_fallback_after", 15)))
+        above = small(amounts_near(lines, i, near("custody_fallback_before", 15), 0))
+        under = (i > 0) & says(F.get(lines, i - 1), "maintenance_marker")
+        found = F.coalesce(F.get(F.filter(totals, lambda a: a.isNotNull()), F.lit(0)), F.when(under, F.get(below, F.lit(1))), F.try_element_at(above, F.lit(-1)))
+        return F.when(says(x, "custody_marker"), F.array(item(cfg.get("custody_category", "bank-custody-fee"), x, F.round(found, 2)))).otherwise(none)
+
+    every = [F.flatten(F.transform(lines, f)) for key, f in (("maintenance_marker", maintenance), ("custody_marker", custody)) if cfg.get(key)]
+    return F.filter(F.concat(*every) if every else none, lambda x: x["amount"] > 0)
 
 
 def stock_sales(lines: Column, date: Column, cfg: dict) -> Column:

@@ -176,4 +176,6 @@ def from_yaml(path: str, base: Policy | None = None) -> Policy:
             ]
         elif hasattr(Policy, names.get(key, key)) or names.get(key, key) in Policy.__dataclass_fields__:
             out[names.get(key, key)] = value
+        else:
+            raise ValueError(f"unknown policy setting: {key}")
     return overlaid(base or Policy(), out)

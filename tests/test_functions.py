@@ -29,8 +29,8 @@ def test_key_amount(spark):
 
 
 def test_stamp_duty_pair(spark):
-    pair = column(spark, [[10.0, 0.4, 3.0], [10.0, 3.0]], "array<double>", lambda c: amounts.stamp_duty_pair(c, 0.04, 1.0))
-    assert (pair[0].base, pair[0].tax) == (10.0, 0.4) and pair[1] is None
+    pair = column(spark, [[5.2, 5.0, 3.0], [10.0, 0.4], [60.0, 50.0]], "array<double>", lambda c: amounts.stamp_duty_pair(c, 0.04, 1.0))
+    assert (pair[0].base, pair[0].gross, pair[0].tax) == (5.0, 5.2, 0.2) and pair[1:] == [None, None]
 
 
 def test_text(spark):
@@ -54,7 +54,7 @@ def test_dates(spark):
     assert column(spark, ["05/01/2026", "05-01-2026", "2026-01-05", "?"], "string", dates.bank_date) == ["2026-01-05"] * 3 + [None]
     assert column(spark, ["soon", "05/01/2026"], "string", dates.any_date) == ["soon", "2026-01-05"]
     assert column(spark, ["2026-01-31", "2026-13-01", "2026"], "string", dates.calendar_month) == ["2026-01", None, None]
-    assert column(spark, ["31/12", "02/01", "15-06"], "string", lambda c: dates.partial_date(c, F.lit("2026-01-10"))) == ["2025-12-31", "2026-01-02", "2026-06-15"]
+    assert column(spark, ["31/12", "02/01", "15-06", "03/01 to 04/01 99/99", "soon", None], "string", lambda c: dates.partial_date(c, F.lit("2026-01-10"))) == ["2025-12-31", "2026-01-02", "2026-06-15", "2026-01-04", None, None]
     assert column(spark, ["2026-01-02"], "string", lambda c: dates.business_days_after(c, 2)) == [datetime.date(2026, 1, 6)]
     assert dates.months_back(2, datetime.date(2026, 1, 9)) == ["2025-11", "2025-12", "2026-01"]
     assert dates.month_range(["2025-12", "2026-02"]) == ("2025-12-01", "2026-02-28")

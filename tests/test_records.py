@@ -117,31 +117,46 @@ def test_exports_and_parties(spark):
     assert [r.month for r in exports.months(docs).collect()] == ["2026-02", "2026-01"]
     out = exports.monthly(docs, F.col("file_name"), F.lit("VND_"))
     assert sorted((r.export_month, r.export_name) for r in out.collect()) == [("2026-01", "VND_p3.pdf"), ("2026-02", "VND_p1.pdf")]
-    names = spark.createDataFrame([("ACME, Inc",), ("The Acme Holdings Group Lda",), ("New Co Ltd",), (None,)], "raw string")
-    known = spark.createDataFrame([("acme",), ("acme-holdings",)], "issuing_party string")
+    names = spark.createDataFrame([("ACME, Inc",), ("The Acme Holdings Group Lda",), ("New Co Ltd",), ("Glo", ), ("Megaacmes",), (None,)], "raw string")
+    known = spark.createDataFrame([("acme",), ("acme-holdings",), ("globex-portugal",), ("globex",)], "issuing_party string")
     got = [r.issuing_party for r in parties.normalized_issuers(names, known).orderBy(F.col("raw").asc_nulls_last()).collect()]
-    assert got == ["acme", "new", "acme-holdings", "$UNKNOWN$"]
+    assert got == ["acme", "globex-portugal", "acme", "new", "acme-holdings", "$UNKNOWN$"]
     cache = spark.createDataFrame([("123456789", "Registered Name")], "tax_number string, name string")
     taxed = spark.createDataFrame([("PT123456789", "x", "pt_PT"), ("PT123456789", "x", "en"), (None, "x", "pt")], "issuer_tax_number string, issuing_party string, locale string")
     assert sorted(r.issuing_party for r in parties.enriched_by_tax(taxed, cache).collect()) == ["Registered Name", "x", "x"]
 
 
 def test_line_items(spark):
-    page = "Comissão de custódia\ntexto\n12,50\nTRF 12345 em 05/01\nImposto de selo\n10,00\n0,40"
+    page = "Comissão de custódia\ntexto\n12,50\nTRF 12345 em 05/01\nManutenção de conta\n5,20\n5,00"
     docs = spark.createDataFrame([([page], "invoice", "Bank", "2026-01-10"), ([page], "other", "Bank", "2026-01-10")], "pages array<string>, document_type string, issuing_party string, date_issued string")
     applies = {"types": ["invoice"], "parties": ["bank"]}
     settings = {
         "fees": {**applies, "extractor": "marked_amounts", "markers": {"custodia": "bank-custody-fee"}},
-        "stamp": {**applies, "extractor": "fee_invoice", "marker": "imposto de selo", "stamp_duty_rate": 0.04},
+        "stamp": {**applies, "extractor": "fee_invoice", "maintenance_marker": "MANUTENCAO", "custody_marker": "CUSTODIA", "custody_category": "custody", "total_debit_marker": "TEXTO"},
         "transfer": {**applies, "extractor": "transfer_lines", "reference_pattern": r"TRF (\d+)"},
         "debit": {**applies, "extractor": "direct_debit", "category": "direct-debit", "amount_pattern": r"\n(\d+,\d\d)\n", "reference_pattern": r"TRF (\d+)"},
     }
     got = lineitems.with_line_items(docs, settings).collect()
-    assert {(x.category, x.amount, x.reference) for x in got[0].line_items} == {("bank-custody-fee", 12.5, None), ("bank-fee", 10.4, None), ("bank-transfer", 12.5, "12345"), ("direct-debit", 12.5, "12345")}
+    assert {(x.category, x.amount, x.reference) for x in got[0].line_items} == {("bank-custody-fee", 12.5, None), ("bank-fee-maintenance", 5.0, None), ("bank-fee-stamp-duty", 0.2, None), ("custody", 12.5, None), ("bank-transfer", 12.5, "12345"), ("direct-debit", 12.5, "12345")}
     assert [x.date for x in got[0].line_items if x.category == "bank-transfer"] == ["2026-01-05"] and got[1].line_items == []
     assert lineitems.with_line_items(docs, {}).first().line_items == []
 
 
+def test_amounts_between_and_page_date(spark):
+    lines = spark.createDataFrame([(["head", "1.000,00", "2,00 EUR", "3,00", "USD", "GBP", "end"], "on 99/99/2024 or 01/02/2024"), (["head", "1,00", "end"], "on 01/02/2024")], "l array<string>, t string")
+    found = lines.select(lineitems.amounts_between(F.col("l"), F.lit(0), F.size("l") - 1).alias("a"), lineitems.page_date(F.col("t"), F.lit("2020-01-01")).alias("d")).collect()
+    assert [[tuple(x) for x in r.a] for r in found] == [[(1000.0, "USD"), (2.0, "EUR"), (3.0, "USD")], [(1.0, None)]]
+    assert [r.d for r in found] == ["2020-01-01", "2024-02-01"]
+
+
+def test_custody_without_total(spark):
+    cfg = {"maintenance_marker": "MANUT", "custody_marker": "CUSTODIA", "total_debit_marker": "TOTAL"}
+    rows = [(["MANUT", "custódia", "3,00", "7,00"],), (["2,00", "4,00", "200,00", "custódia"],), (["custódia", "TOTAL", "x", "9,00"],)]
+    docs = spark.createDataFrame(rows, "l array<string>")
+    got = [[x.amount for x in r.a] for r in docs.select(lineitems.fee_invoice(F.col("l"), F.lit(None), cfg).alias("a")).collect()]
+    assert got == [[7.0], [4.0], [9.0]]
+
+
 def test_audit_and_review(spark):
     docs = spark.createDataFrame([("a", "x", "2026-01-01", 0.5, "h"), ("b", "$UNKNOWN$", "soon", 0.95, "h"), ("c", None, None, 1.0, None)], "path string, issuing_party string, date_issued string, class_confidence double, hash_file string").withColumns({"document_type": F.lit("t"), "hash_content": F.lit("c")})
     assert {r.field: r.n for r in audit.unknown_counts(docs).collect()} == {"document_type": 0, "issuing_party": 1, "date_issued": 0, "any": 1}
