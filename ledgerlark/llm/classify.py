@@ -38,6 +38,8 @@ IDENTITY_TERMS = (
 )
 
 LEADS = (3, 4, 5, 6)
+#: Leading bits of a feature that are looked up before the feature itself.
+SIEVE_BITS = 20
 
 
 def features(words: Words) -> np.ndarray:
@@ -110,13 +112,24 @@ class Model:
 
     def logits(self, words: Words) -> np.ndarray:
         """Bias plus the weights of a document's distinct features."""
-        n = len(words.by_row) - 1
+        n, of = len(words.by_row) - 1, len(self.keys)
+        if not of:
+            return np.full(n, float(self.bias))
         flat = features(words).ravel()
-        at = np.minimum(np.searchsorted(self.keys, flat), max(0, len(self.keys) - 1))
-        hit = np.flatnonzero(self.keys[at] == flat) if len(self.keys) else np.zeros(0, np.int64)
-        row = np.searchsorted(words.by_row, hit // (1 + len(LEADS)), "right") - 1
-        pair = np.unique(np.column_stack([row, at[hit]]), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
-        return self.bias + np.bincount(pair[:, 0], self.weights[pair[:, 1]], minlength=n)[:n]
+        likely = np.flatnonzero(self.sieve()[(flat >> np.uint64(64 - SIEVE_BITS)).astype(np.intp)])
+        some = flat[likely]
+        at = np.minimum(np.searchsorted(self.keys, some), of - 1)
+        same = self.keys[at] == some
+        row = np.searchsorted(words.by_row, likely[same] // (1 + len(LEADS)), "right") - 1
+        pair = np.unique(row * of + at[same])
+        return self.bias + np.bincount(pair // of, self.weights[pair % of], minlength=n)[:n]
+
+    def sieve(self) -> np.ndarray:
+        """Whether a key has these leading bits; made once in a process."""
+        if not hasattr(self, "_sieve"):
+            self._sieve = np.zeros(1 << SIEVE_BITS, bool)
+            self._sieve[(self.keys >> np.uint64(64 - SIEVE_BITS)).astype(np.intp)] = True
+        return self._sieve
 
 
 def sentences_with_terms(texts: list[str], groups=IDENTITY_TERMS) -> list[tuple[str, str, int]]:
