@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import pickle
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,9 +103,7 @@ class Languages:
         """(phrases [row, language], letters parsed, has a letter) of each text."""
         n = len(texts)
         counts, sizes, lettered = np.zeros((n, len(self.names))), np.zeros(n), np.zeros(n, bool)
-        to_symbol = np.zeros(0x110000, np.uint32)
-        for c, s in self.symbol.items():
-            to_symbol[c] = s
+        to_symbol = self.symbols()
         data, offsets, _ = text_buffers(texts)
         i = 0
         while i < n:
@@ -115,12 +113,20 @@ class Languages:
             lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
             rows = np.repeat(np.arange(i, j), np.diff(lead[offsets[i : j + 1] - offsets[i]]))
             folded, rows = letters_of(points, rows, self.letters)
-            np.maximum.at(lettered, rows[folded != 32], True)
-            np.add.at(sizes, rows, 1)
+            lettered[rows[folded != 32]] = True
+            sizes += np.bincount(rows, minlength=n)
             self._parse(to_symbol[folded], rows, block, counts)
             i = j
         return counts, sizes, lettered
 
+    def symbols(self) -> np.ndarray:
+        """Letter -> its symbol, 0 if unknown; made once in a process."""
+        if not hasattr(self, "_symbols"):
+            self._symbols = np.zeros(0x110000, np.uint32)
+            for c, s in self.symbol.items():
+                self._symbols[c] = s
+        return self._symbols
+
     def _step(self, k: int, state: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Where symbols lead in language ``k``, or -1."""
         table, (keys, states) = self.tables[k], self.sparse[k]
@@ -158,7 +164,7 @@ class Languages:
                 # language lacks (a phrase of its own), or where the last one cannot go on
                 phrases[:m] += ended | (state[:m] == 0)
                 state[:m] = np.maximum(np.where(ended, self._step(k, np.zeros(m, np.int32), c), to), 0)
-            np.add.at(counts[:, k], of_row, phrases)
+            counts[:, k] += np.bincount(of_row, phrases, minlength=len(counts))
 
 
 def train(docs: DataFrame, learn: Column, letters_per_language: int = 20_000, most_letters: int = 400_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
@@ -217,17 +223,18 @@ def identify(docs: DataFrame, model: Languages, block: int = 512, text_col: str
     """
     shared = shipped(docs.sparkSession, model)
 
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def named(text: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def named(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = pickle.loads(shared.value)
-        counts, _, lettered = model.phrases(pa.array(text, pa.string(), from_pandas=True), block)
         n = len(model.names)
-        if not n:
-            return pd.DataFrame({"lang_pred": ["und"] * len(text), "score": [0.0] * len(text)})
-        best = counts.argmin(axis=1)
-        ranked = np.sort(counts, axis=1)
-        margin = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1) if n > 1 else np.ones(len(text))
-        names = np.where(lettered, np.array(model.names, object)[best], "und")
-        return pd.DataFrame({"lang_pred": names, "score": np.where(lettered, margin, 0.0)})
+        for text in texts:
+            lang, score = np.full(len(text), "und", object), np.zeros(len(text))
+            if n and len(text):
+                counts, _, lettered = model.phrases(text, block)
+                ranked = np.sort(counts, axis=1)
+                margin = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1) if n > 1 else np.ones(len(text))
+                lang[lettered] = np.array(model.names, object)[counts.argmin(axis=1)][lettered]
+                score[lettered] = margin[lettered]
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
     return docs.withColumn("__named", named(F.col(text_col))).withColumns({"lang_pred": F.col("__named.lang_pred"), "score": F.col("__named.score")}).drop("__named")
