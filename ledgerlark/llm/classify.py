@@ -23,11 +23,18 @@ from .codecs import planes, unplanes
 from .common import saved, shipped
 from .kernels import Hasher, Words, mix, pieces, returned, text_buffers
 
-#: Groups of identity terms; a term is swapped for the others of its group.
+#: Groups of identity terms of one language; a term is swapped for the others of its group.
 IDENTITY_TERMS = (
-    ("women", "men", "girls", "boys", "transgender", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
-    ("woman", "man", "girl", "boy", "frau", "mann", "femme", "homme", "mujer", "hombre"),
-    ("gay", "lesbian", "straight", "bisexual", "queer", "homosexual", "heterosexual", "schwul", "lesbisch"),
+    ("women", "men", "girls", "boys"),
+    ("woman", "man", "girl", "boy"),
+    ("gay", "lesbian", "straight", "bisexual", "queer", "homosexual", "heterosexual", "transgender"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("schwul", "lesbisch"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("mujer", "hombre", "chica", "chico"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
     ("black", "white", "asian", "latino", "african", "european", "arab"),
