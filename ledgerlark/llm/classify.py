@@ -73,12 +73,12 @@ def distinct_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents, and those of label 1, by feature; summed over some megabytes of text at a time."""
+    """Documents, and those of label 1, by feature; summed over about a megabyte of text at a time."""
     hasher = Hasher("alnum")
     for batch in batches:
         data, offsets, _ = text_buffers(batch.column("text"))
         label = np.asarray(batch.column("label"))
-        for i, j in pieces(offsets, 4 << 20):
+        for i, j in pieces(offsets):
             row, feature = distinct_features(hasher.words(data, offsets[i : j + 1]))
             keys, at, n = np.unique(feature, return_inverse=True, return_counts=True)
             pos = np.bincount(at, label[i + row], minlength=len(keys)).astype(np.int64)
@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
         model, hasher = pickle.loads(shared.value), Hasher("alnum")
         for text in texts:
             data, offsets, _ = text_buffers(text)
-            found = [model.logits(hasher.words(data, offsets[i : j + 1])) for i, j in pieces(offsets)]
+            found = [model.logits(hasher.words(data, offsets[i : j + 1])) for i, j in pieces(offsets, 1 << 18)]
             z = np.concatenate(found) if found else np.zeros(0)
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))), pa.float64())
         returned()
