@@ -10,11 +10,13 @@ shard of a source its part of them.  Block i of a stretch of w words, of which r
 taken, is taken as often as the rounded line (r i + u) / w rises there, u being
 a seeded offset.  A cell is taken in ``LEVELS`` stretches, longest documents
 first; each one's r is what the quota still lacks, so that what a long document
-takes too much or too little is made up by the shorter ones after it.  The last
-two blocks' words of a cell are taken in ``FINE`` further stretches, in which
-every document is a block of its own and the rise is rounded to the nearest, so
-that a cell misses its quota by parts of a document, not of a block.  Before them no
-document is taken beyond what the quota lacks.
+takes too much or too little is made up by the shorter ones after it.
+
+With ``fine`` stretches, the last two blocks' words of a cell are taken in that
+many further ones (two blocks, one, half a block, ...), in which every document is
+a block of its own and the rise is rounded to the nearest, and before them no
+document is taken beyond what the quota lacks: a cell then misses its quota by
+parts of a document, not of a block.
 
 The window over a source is split into shards of bounded words, so that a hot
 source is spread; only sizes, never texts, are needed to decide.
@@ -29,8 +31,6 @@ from .common import saved
 
 #: A cell's stream is taken in parts: half of its words, half of the rest, and so on.
 LEVELS = 5
-#: The end of a stream: its last two blocks' words, the last one, the last half.
-FINE = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,6 +99,7 @@ def mix(
     shard_words: int = 1 << 24,
     least_shard_words: int = 1 << 17,
     seed: int = 17,
+    fine: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -149,9 +150,9 @@ def mix(
     place = F.col("__block") * block_words
     coarse = sum((place * (1 << k) >= F.col("__cell_size") * ((1 << k) - 1)).cast("int") for k in range(1, LEVELS))
     ahead = F.col("__cell_size") - F.sum("size").over(upto) + F.col("size")
-    fine = sum((ahead * (1 << k) <= 2 * block_words).cast("int") for k in range(FINE))
-    d = d.withColumns({"__i": F.sum("__new").over(upto) - 1, "__level": F.when(fine > 0, fine + LEVELS - 1).otherwise(coarse), "copies": F.lit(0).cast("long")})
-    for level in range(LEVELS + FINE):
+    late = sum(((ahead * (1 << k) <= 2 * block_words).cast("int") for k in range(fine)), F.lit(0))
+    d = d.withColumns({"__i": F.sum("__new").over(upto) - 1, "__level": F.when(late > 0, late + LEVELS - 1).otherwise(coarse), "copies": F.lit(0).cast("long")})
+    for level in range(LEVELS + fine):
         before, own = F.col("__level") < level, level >= LEVELS
         done, passed = (F.coalesce(F.sum(F.when(before, x)).over(upto), F.lit(0)) for x in (F.col("size") * F.col("copies"), F.col("size")))
         left = F.col("__cell_size") - passed
@@ -160,7 +161,7 @@ def mix(
         shift = F.floor(F.col("__left") / 2) if own else F.pmod("__offset", F.nullif("__left", F.lit(0)))
         line = lambda i: F.floor((F.col("__rest") * i + shift) / F.nullif("__left", F.lit(0)))  # noqa: E731, B023
         here_copies = F.coalesce(line(F.col("__unit") + 1) - line(F.col("__unit")), F.lit(0)).cast("long")
-        if not own:
+        if fine and not own:
             here_copies = F.least(here_copies, F.coalesce(F.floor(F.col("__rest") / F.nullif("size", F.lit(0))), F.lit(0)))
         d = d.withColumn("copies", F.when(F.col("__level") == level, here_copies).otherwise(F.col("copies")))
     d = d.withColumn("taken", F.col("size") * F.col("copies"))
