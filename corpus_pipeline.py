@@ -55,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row's n_chars is that of the text it holds."""
-    return mixing.taken_texts(mixing.mix(docs), list(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return mixing.taken_texts(mixing.mix(docs, fine=3), list(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
