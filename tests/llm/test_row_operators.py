@@ -246,3 +246,21 @@ def test_shards_split_a_hot_key(spark):
     for part in by_shard.values():
         assert sorted(r.slot for r in part) == list(range(len(part)))
         assert abs(sum(size(r.text) for r in part) - share) <= 0.02 * share
+
+
+@pytest.mark.parametrize("block_words", [7, 64])
+def test_mix_fine_end(spark, block_words):
+    """A cell misses its quota by less than its longest document, or by the copies that its source allows; reruns agree."""
+    rows = mixed_rows()
+    run = lambda n: mixing.mix(docs_frame(spark, rows).repartition(n), block_words=block_words, fine=3).select("doc_id", "source", "size", "source_size", "quota", "copies", "taken").collect()
+    got = run(1)
+    taken, longest, quota, size = Counter(), Counter(), {}, {}
+    for r in got:
+        assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
+        taken[r.source] += r.taken
+        longest[r.source] = max(longest[r.source], r.size)
+        quota[r.source], size[r.source] = r.quota * block_words, r.source_size
+    for s in size:
+        assert abs(taken[s] - min(quota[s], 3 * size[s])) <= longest[s]
+    assert sorted(map(str, run(4))) == sorted(map(str, got))
+    assert mixing.mix(docs_frame(spark, rows).limit(0), fine=3).count() == 0
